@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, secrets, simhash
+from . import media, packing, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -23,6 +23,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "cut")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
+def _scored(s: DataFrame) -> DataFrame:
+    return s.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media.to_media(table(spark, sf_dir, "documents"))
     text = F.concat_ws(":", "n_frames", F.size("fingerprint"), F.hex(F.xxhash64("fingerprint")))
@@ -43,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_packing, op7_media, op8_secrets, op10_simhash]
+    found = [op3_packing, op5_quality, op7_media, op8_secrets, op9_toxicity, op10_simhash]
     return {f.__name__: f for f in found}
 
 
