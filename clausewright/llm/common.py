@@ -25,14 +25,14 @@ def texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one under the warehouse only where it names none."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that setting is
-    missing (tests on one machine) is a folder under the warehouse set instead.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and read it back."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, media, packing, quality, secrets, sentencepiece_codec, simhash, toxicity
-from .common import table
+from . import ann, chat, media, packing, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from .common import table, text_of
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,6 +51,12 @@ def _scored(s: DataFrame) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = suffix_dedup.remove_repeats(docs).select("k1", "k2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", *suffix_dedup.keys_of(text_of("text"))).join(found, ["k1", "k2"]).drop("k1", "k2")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media.to_media(table(spark, sf_dir, "documents"))
     text = F.concat_ws(":", "n_frames", F.size("fingerprint"), F.hex(F.xxhash64("fingerprint")))
@@ -71,7 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_chat, op3_packing, op4_ann, op5_quality, op7_media, op8_secrets, op9_toxicity, op10_simhash]
+    found = [op1_sentencepiece, op2_chat, op3_packing, op4_ann, op5_quality, op6_suffix_array, op7_media, op8_secrets, op9_toxicity, op10_simhash]
     return {f.__name__: f for f in found}
 
 
