@@ -5,7 +5,7 @@ hash of every substring that ends there is probed in the sorted hashes of the pi
 the best predecessor of every word. For unigram models the maximum is that of summed scores. In models built by
 merges a piece may follow another only if merging their joined text gives just those two again; with that rule every
 prefix has one admissible last piece, so the same search gives exactly what the merges would (the rule's
-answers are kept in a table of bounded size). Words over LONGEST characters, and words that begin with several
+answers are kept in a table of fixed size). Words over LONGEST characters, and words that begin with several
 spaces (whose pieces share one score), are merged one by one.
 
 Unknown characters become byte pieces where the model has them. Normalisation is that of the identity: a
@@ -31,10 +31,12 @@ from .common import text_of, texts
 
 SPACE = "▁"
 LONGEST = 40
-WORDS_KEPT = 300_000
-PAIRS_KEPT, NEW_PAIRS = 2_000_000, 20_000
-SLICE = 2000
+WORDS_KEPT = 150_000
+PAIR_BITS = 21
+PAIRS = 1 << PAIR_BITS
+SLICE = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)  # moves what short pieces differ in to the upper bits
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -49,6 +51,7 @@ class Codec:
         plain = [i for i in range(self.n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.id_of = {self.pieces[i]: i for i in plain}
         self.unknown = sp.unk_id()
+        self.ints = list(range(self.n))  # one object for each id in the table of words
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(self.n) if sp.is_byte(i)}
         whole = self.scores[plain]
         self.merges = bool((whole == np.rint(whole)).all())
@@ -59,19 +62,13 @@ class Codec:
         keys = np.array([self._hash(self.pieces[i]) for i in plain], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(plain)[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(keys >> np.uint64(44)).astype(np.intp)] = True
+        self._directory()
         assert len(np.unique(keys)) == len(keys), "two pieces share a hash"
         self.codes = np.zeros((self.n, self.longest), np.uint32)
         for i in plain:
             self.codes[i, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
-        self.whole = np.zeros(self.n, bool)
-        if self.merges:
-            self.whole[[i for i in plain if self.merged(self.pieces[i]) == [i]]] = True
-        else:
-            self.whole[plain] = True
-        self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
-        self.new_pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self.neighbours = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self.lines = not any("\n" in p for p in self.id_of)
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -84,12 +81,25 @@ class Codec:
             elif sp.is_unknown(i):
                 self.bytes_of[i] = " ⁇ ".encode()
 
+    def _directory(self) -> None:
+        """Where in the sorted keys those with given upper bits begin, and how many share them at most."""
+        tops = np.arange((1 << 20) + 1, dtype=np.uint64)
+        self.first = np.append(np.searchsorted(self.keys, tops[:-1] << np.uint64(44)), len(self.keys)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
+
+    @functools.cached_property
+    def whole(self) -> np.ndarray:
+        """Pieces that merging their own text gives back."""
+        found = np.zeros(self.n, bool)
+        found[[i for p, i in self.id_of.items() if not self.merges or self.merged(p) == [i]]] = True
+        return found
+
     def _hash(self, piece: str) -> np.uint64:
         h = np.uint64(0)
         with np.errstate(over="ignore"):
             for c in piece:
                 h = h * _BASE + np.uint64(ord(c) + 1)
-        return h
+            return h * _SPREAD
 
     def merged(self, text: str) -> list[int]:
         """Ids by merging the best-scored adjacent pair, leftmost first; unknown characters are n + code."""
@@ -145,31 +155,18 @@ class Codec:
         if not self.merges:
             return np.ones_like(ok)
         need = np.flatnonzero(~ok)
-        keys, which = np.unique(before[need] * self.n + piece[need], return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
-        known = self.pair_keys[at] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
-        found = np.zeros(len(keys), bool)
-        if known.any():
-            found[known] = self.pair_ok[at[known]]
-        for k in np.flatnonzero(~known).tolist():
-            key = int(keys[k])
-            if (answer := self.new_pairs.get(key)) is None:
-                a, b = divmod(key, self.n)
-                self.new_pairs[key] = answer = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-            found[k] = answer
-        if len(self.new_pairs) > NEW_PAIRS:
-            self._file_pairs()
-        ok[need] = found[which]
+        keys = before[need] * self.n + piece[need]
+        slot = ((keys.astype(np.uint64) * _BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.intp)
+        found = self.pair_ok[slot]
+        fresh = np.flatnonzero(self.pair_keys[slot] != keys)
+        if len(fresh):  # each slot keeps the pair that was asked for last
+            kinds, which = np.unique(keys[fresh], return_inverse=True)
+            answers = np.array([self.merged(self.pieces[a] + self.pieces[b]) == [a, b] for a, b in (divmod(k, self.n) for k in kinds.tolist())])
+            found[fresh] = answers[which]
+            self.pair_keys[slot[fresh]], self.pair_ok[slot[fresh]] = keys[fresh], answers[which]
+        ok[need] = found
         return ok
 
-    def _file_pairs(self) -> None:
-        keys = np.fromiter(self.new_pairs.keys(), np.int64, len(self.new_pairs))
-        answers = np.fromiter(self.new_pairs.values(), bool, len(self.new_pairs))
-        if len(self.pair_keys) + len(keys) <= PAIRS_KEPT:
-            keys, answers = np.concatenate([self.pair_keys, keys]), np.concatenate([self.pair_ok, answers])
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ok, self.new_pairs = keys[order], answers[order], {}
-
     def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words of one length."""
         n, size = len(words), len(words[0])
@@ -186,9 +183,13 @@ class Codec:
             for k in range(1, min(end, self.longest) + 1):
                 start = end - k
                 key = prefix[:, end] - prefix[:, start] * self.powers[k]
-                rows = np.flatnonzero(self.sieve[(key >> np.uint64(44)).astype(np.intp)])  # most substrings stop here
-                key = key[rows]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                key *= _SPREAD
+                top = (key >> np.uint64(44)).astype(np.intp)
+                at = self.first[top]
+                rows = np.flatnonzero(at < self.first[top + 1])  # most substrings stop here
+                key, at = key[rows], at[rows]
+                for _ in range(self.most - 1):
+                    at = np.minimum(at + (self.keys[at] < key), len(self.keys) - 1)
                 piece = self.key_ids[at]
                 same = self.keys[at] == key
                 same &= (self.codes[piece, :k] == code[rows, start:end]).all(axis=1)
@@ -208,25 +209,27 @@ class Codec:
                 better = value > best[rows, end]
                 r = rows[better]
                 best[r, end], last[r, end], width[r, end] = value[better], piece[better], k
-        out: list[list[int]] = [[] for _ in range(n)]
-        at = np.full(n, size)
+        path = np.full((n, size), -1, np.int64)
+        at, steps = np.full(n, size), np.zeros(n, np.int64)
         open_ = np.arange(n)
         while len(open_):
-            piece = last[open_, at[open_]].tolist()
-            for r, p in zip(open_.tolist(), piece, strict=True):
-                out[r].append(p)
+            steps[open_] += 1
+            path[open_, size - steps[open_]] = last[open_, at[open_]]
             at[open_] -= width[open_, at[open_]]
             open_ = open_[at[open_] > 0]
-        return [self._spelled(o[::-1]) for o in out]
+        return [self._spelled(row[size - k :]) for row, k in zip(path.tolist(), steps.tolist(), strict=True)]
 
     def _spelled(self, ids: list[int]) -> tuple[int, ...]:
         if max(ids) < self.n:
-            return tuple(ids)
+            return tuple(map(self.ints.__getitem__, ids))
         return tuple(chain.from_iterable([i] if i < self.n else [self.byte.get(b, self.unknown) for b in chr(i - self.n).encode("utf-8", "replace")] if self.byte else [self.unknown] for i in ids))
 
     def encode_words(self, words: set[str]) -> None:
         """Put the ids of `words` into the table of known words."""
         groups: dict[int, list[str]] = {}
+        if self.merges:  # two characters that no piece holds together are never merged: mostly a word and its stop
+            halves = {w: (w[:-1], w[-1]) for w in words if 2 < len(w) <= LONGEST and w[-2:] not in self.neighbours}
+            words = words.difference(halves).union(p for h in halves.values() for p in h if p not in self.words)
         for w in words:
             if len(w) > LONGEST or (self.merges and w.startswith(SPACE * 2)):
                 self.words[w] = self._spelled(self.merged(w)) if self.merges else self.viterbi([w])[0]
@@ -236,6 +239,8 @@ class Codec:
             for at in range(0, len(group), 4096):
                 part = group[at : at + 4096]
                 self.words.update(zip(part, self.viterbi(part), strict=True))
+        if self.merges:
+            self.words.update((w, self.words[a] + self.words[b]) for w, (a, b) in halves.items())
 
     def units(self, text: str) -> list[str]:
         """The words of a text; no piece reaches over the start of a word."""
@@ -302,7 +307,9 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "deco
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            out = [None if ids is None else c.decode(ids) for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, out_col])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out = [c.decode(ids.values.to_pylist()) if ids.is_valid else None for ids in part.column(place)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, out_col])
 
     return df.select(*names).mapInArrow(rows, schema)

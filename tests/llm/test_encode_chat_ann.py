@@ -46,14 +46,15 @@ def test_unigram_models_take_the_best_sum():
     c = object.__new__(sentencepiece_codec.Codec)
     pieces = ["<unk>", "▁", "a", "b", "ab", "ba", "▁a", "aba", "▁ab"]
     scores = [0, -3.1, -2.2, -2.3, -3.05, -3.0, -3.7, -4.1, -4.9]
+    c.ints = list(range(len(pieces)))
     c.n, c.pieces, c.scores, c.unknown, c.byte, c.merges = len(pieces), pieces, np.array(scores), 0, {}, False
     c.id_of = {p: i for i, p in enumerate(pieces) if i}
-    c.longest, c.whole = 3, np.array([False] + [True] * 8)
+    c.longest = 3
     c.powers = np.array([pow(int(sentencepiece_codec._BASE), k, 1 << 64) for k in range(4)], np.uint64)
     keys = np.array([c._hash(p) for p in pieces[1:]], np.uint64)
     order = np.argsort(keys)
     c.keys, c.key_ids = keys[order], np.arange(1, 9)[order]
-    c.sieve = np.ones(1 << 20, bool)
+    c._directory()
     c.codes = np.zeros((9, 3), np.uint32)
     for i, p in enumerate(pieces[1:], 1):
         c.codes[i, : len(p)] = [ord(x) for x in p]
