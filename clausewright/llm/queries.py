@@ -78,7 +78,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_sentencepiece, op2_chat, op3_packing, op4_ann, op5_quality, op6_suffix_array, op7_media, op8_secrets, op9_toxicity, op10_simhash]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -134,3 +134,12 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))))
+
+
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+    """`docs` with every span of `scan` masked."""
+    found = scan(docs, id_col, text_col, owner_col).where(F.size("spans") > 0).groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
+    rows = docs.withColumn("_text_key", F.xxhash64(text_of(text_col)))
+    rows = rows.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    text = F.when(F.col("_spans").isNull(), text_of(text_col)).otherwise(masked(text_of(text_col), F.col("_spans")))
+    return rows.withColumn(text_col, text).select(*docs.columns)

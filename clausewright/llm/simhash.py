@@ -52,15 +52,17 @@ def fingerprint(raw: bytes, width: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> DataFrame:
+    """(id, fp) and the long columns `more`: fp is the fingerprint as a signed long."""
+    more = more or []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["id", "fp", *more])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInArrow(rows, "id bigint, fp bigint")
+    found = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), *more)
+    return found.mapInArrow(rows, ", ".join(f"{c} bigint" for c in ("id", "fp", *more)))
 
 
 def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -190,12 +192,25 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return pairs.groupBy("a", "b").applyInPandas(_node_links, "u bigint, v bigint")
 
 
-def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row; component_id is the least id of the row's component."""
-    rows = cut_lineage(fingerprints(df, width, id_col, text_col))
+def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> DataFrame:
+    """(id, fp, component_id, root) and `more` for every row; component_id is the least id of the row's component, root a key of it."""
+    rows = cut_lineage(fingerprints(df, width, id_col, text_col, more))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_links(classes), "u", "v")
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
+    named = linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the least of their component, one for each component.
+
+    Only ids and fingerprints are joined. Where several rows of a component share its least id (or all ids are null),
+    the one with the least fingerprint and row number stays.
+    """
+    names = docs.columns
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    near = near_duplicates(rows, width, id_col, text_col, more=["_row"])
+    first = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*names)

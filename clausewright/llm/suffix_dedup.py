@@ -33,11 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shared_folder, text_of
+from .common import cut_lineage, kept_table, shared_folder, text_of
 
 WIDTH = 400
 GRAM = 32
-PIECE = 1_500_000
+PIECE = 150_000  # a piece's arrays stay in cache
 HOT = 5000
 DEPTH = 6  # 3**6 > WIDTH
 
@@ -281,7 +281,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH, ho
     """(k1, k2, n_bytes, n_removed, n_spans, kept) for each distinct text of `df`; `keys_of` gives a row's key."""
     texts = _distinct_texts(df, text_col)
     runs = texts.select("k1", "k2", "text", "copies").mapInArrow(lambda it: _runs(it, width), "k1 bigint, k2 bigint, begin bigint, end bigint, anchor bigint, span bigint, copies bigint, twin boolean")
-    runs = cut_lineage(runs)
+    runs = kept_table(runs)
     classes = runs.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin"), F.min(F.struct("k1", "k2", "begin", "end")).alias("one"))
     kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     classes = cut_lineage(classes.join(kinds, "anchor").where("n > 1 or kinds > 1 or twin"))
@@ -300,3 +300,13 @@ def remove_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH, ho
     ranges = alike.unionByName(sorted_).unionByName(hot_).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     both = texts.select("k1", "k2", "text").join(ranges, ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
     return both.mapInArrow(lambda it: _cut(it, width), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """`docs` with every text replaced by what is left of it; halves of cut characters are dropped."""
+    cut = remove_repeats(docs, text_col, width).where("n_removed > 0").select(F.col("k1").alias("_c1"), F.col("k2").alias("_c2"), F.col("kept").alias("_kept"))
+    names = docs.columns
+    k1, k2 = keys_of(text_of(text_col))
+    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(cut, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left")
+    valid = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return rows.withColumn(text_col, F.when(F.col("_kept").isNull(), text_of(text_col)).otherwise(valid)).select(*names)
