@@ -15,7 +15,7 @@ strings always meet in one piece and most of the text need not be sorted at all:
    strings are named one by one by a 128-bit hash instead, and names are counted, combined before the shuffle.
 
 Recursion stops once names stand for more than WIDTH bytes. Spark keeps the distinct texts in a table in the shared
-checkpoint folder, bucketed by their key, so later joins move positions and not texts.
+checkpoint folder, bucketed by their whole key, so later joins move positions and not texts.
 
 Defined cases: null texts are empty; texts under WIDTH bytes lose nothing; a repetition within one text counts;
 two rows of one text remove all of it (from WIDTH bytes on) in both; null ids stay; an empty table gives
@@ -266,13 +266,13 @@ def keys_of(text: Column) -> list[Column]:
 
 
 def _distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
-    """(k1, k2, text, copies), kept in the shared folder in buckets of k1."""
+    """(k1, k2, text, copies), kept in the shared folder in buckets of both keys."""
     spark = df.sparkSession
     text = text_of(text_col)
     rows = df.select(text.alias("text"), *keys_of(text)).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name = f"distinct_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.write.bucketBy(buckets, "k1").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd")
+    writer = rows.write.bucketBy(buckets, "k1", "k2").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd")
     writer.format("parquet").saveAsTable(name)
     return spark.table(name)
 
