@@ -18,9 +18,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_path("piece_bpe_32k.model")
-    e = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
-    return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"), "ids")
+    e = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), check=True)
+    return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), "same", "ids")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

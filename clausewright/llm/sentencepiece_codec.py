@@ -31,10 +31,10 @@ from .common import text_of, texts
 
 SPACE = "▁"
 LONGEST = 40
-WORDS_KEPT = 150_000
+WORDS_KEPT = 100_000
 PAIR_BITS = 21
 PAIRS = 1 << PAIR_BITS
-SLICE = 1000
+SLICE = 500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)  # moves what short pieces differ in to the upper bits
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -282,20 +282,29 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, ids) of every row; no shuffle."""
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """(id, ids) of every row, with `check` also the text that the ids decode to, and whether it is the row's own; no shuffle.
+
+    Checking in the same pass keeps one worker a task and sends no text back twice.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = c.encode(texts(part.column(1)))
+                own = texts(part.column(1))
+                ids = c.encode(own)
                 sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["id", "text", "ids"])
-
-    return df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInArrow(rows, "id bigint, text string, ids array<int>")
+                out = [part.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+                if check:
+                    back = [c.decode(i) for i in ids]
+                    out += [pa.array(back, pa.string()), pa.array([a == b for a, b in zip(own, back, strict=True)])]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded", "same"][: len(out)])
+
+    schema = "id bigint, ids array<int>" + (", decoded string, same boolean" if check else "")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInArrow(rows, schema)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

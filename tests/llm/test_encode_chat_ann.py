@@ -32,6 +32,15 @@ def test_ids_are_the_librarys(spark, library):
         assert r.same == (library.decode(r.ids) == d.text)
 
 
+def test_decode_and_odd_rows(spark, library):
+    model = tokenizer_path(MODEL)
+    rows = [(1, "One two  three.\nFour", "c"), (1, "One two  three.\nFour", "c"), (None, None, "c"), (2, "", None), (3, "word " * 30000, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(df, model), model).collect()
+    assert sorted((str(r.id), r.decoded) for r in back) == sorted((str(i), t or "") for i, t, _ in rows)
+    assert sentencepiece_codec.encode(df.limit(0), model).count() == 0
+
+
 def test_odd_texts(library):
     c = sentencepiece_codec.codec(tokenizer_path(MODEL))
     rng = random.Random(1)
