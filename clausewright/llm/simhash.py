@@ -15,6 +15,7 @@ the minimum; repeated rows stay; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,19 +33,27 @@ NODE = 4096
 MAX_NODES = 1024
 LEAF = 128
 SLICE = 1 << 20
+_ALL = (1 << 64) - 1
+_ODD = np.random.default_rng(23).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(raw: bytes, width: int) -> int:
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; none for a text without words."""
     words = raw.lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([digest(text[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -52,17 +61,32 @@ def fingerprint(raw: bytes, width: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> DataFrame:
-    """(id, fp) and the long columns `more`: fp is the fingerprint as a signed long."""
+def fingerprint(raw: bytes, width: int) -> int:
+    return majority(shingle_hashes(raw, width))
+
+
+def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
+    """For each band a key of the least hashes under two permutations: texts alike in 0.8 of their shingles share one at a rate of 1 - 0.36**bands."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    least = np.array([(h * m ^ (h >> np.uint64(31)) * m).min() for m in _ODD[: 2 * bands]], np.uint64)
+    return (least[::2] * _ODD[0] ^ least[1::2]) * _ODD[1] + np.arange(bands, dtype=np.uint64)
+
+
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None, bands: int = 0) -> DataFrame:
+    """(id, fp), with `bands` also their keys, and the long columns `more`: fp is the fingerprint as a signed long."""
     more = more or []
+    names = ["id", "fp", *(["bands"] if bands else []), *more]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["id", "fp", *more])
+            hashes = [shingle_hashes(t, width) for t in utf8(batch.column(1))]
+            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            keys = [pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))] if bands else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *keys, *batch.columns[2:]], names=names)
 
     found = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), *more)
-    return found.mapInArrow(rows, ", ".join(f"{c} bigint" for c in ("id", "fp", *more)))
+    return found.mapInArrow(rows, ", ".join(f"{c} {'array<bigint>' if c == 'bands' else 'bigint'}" for c in names))
 
 
 def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -135,13 +159,13 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _node_links(pdf: pd.DataFrame) -> pd.DataFrame:
+def _node_links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
     keys = [np.frombuffer(x, "<u8") for x in pdf["keys"]]
     a, b = keys[0], keys[1] if len(keys) > 1 else None
     shift = len(a) if b is not None else 0
     every = np.concatenate([a, b]) if b is not None else a
-    root = forest(len(every), ((i, j + shift) for i, j in trie_links(a, b)))
+    root = forest(len(every), ((i, j + shift) for i, j in trie_links(a, b, budget)))
     moved = np.flatnonzero(root != np.arange(len(every)))
     return pd.DataFrame({"u": every[moved].view(np.int64), "v": every[root[moved]].view(np.int64)})
 
@@ -189,21 +213,61 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     blobs = distinct.select("fp").mapInArrow(node_of, "fp bigint, node int").groupBy("node").applyInPandas(packed, "node int, keys binary")
     blobs = cut_lineage(blobs)
     pairs = blobs.mapInPandas(sent, "a int, b int, node int, keys binary")
-    return pairs.groupBy("a", "b").applyInPandas(_node_links, "u bigint, v bigint")
+    return pairs.groupBy("a", "b").applyInPandas(lambda pdf: _node_links(pdf, budget), "u bigint, v bigint")
+
+
+def _group_links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the links in each (key, a, b) of rows sorted by these and fp; columns key, a, b, part, fp."""
+    for _, rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:3]):
+        rows = list(rows)  # at most about two NODEs
+        if len(rows) <= 16:
+            fps = [r[4] for r in rows]
+            out = [(fps[i], fps[j]) for j in range(len(fps)) for i in range(j) if ((fps[i] ^ fps[j]) & _ALL).bit_count() <= budget]
+        else:
+            key, part = np.array([r[4] for r in rows]).view(np.uint64), np.array([r[3] for r in rows])
+            both = rows[0][1] != rows[0][2]
+            a = np.sort(key[part == rows[0][1]])
+            b = np.sort(key[part == rows[0][2]]) if both else None
+            every = np.concatenate([a, b]) if both else a
+            root = forest(len(every), ((i, j + (len(a) if both else 0)) for i, j in trie_links(a, b, budget)))
+            moved = np.flatnonzero(root != np.arange(len(every)))
+            out = list(zip(every[moved].view(np.int64).tolist(), every[root[moved]].view(np.int64).tolist(), strict=True))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+
+def banded_links(rows: DataFrame, budget: int) -> DataFrame:
+    """(u, v): forests of the links within `budget` bits among fingerprints that share a band's key.
+
+    For budgets at which a trie over all fingerprints prunes little. A key with more than NODE fingerprints is cut into
+    parts by hash, and pairs of parts are joined like pairs of trie nodes.
+    """
+    keyed = rows.select("fp", F.explode("bands").alias("key")).distinct()
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / NODE).cast("int")
+    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    members = keyed.join(sizes, "key").select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    sent = members.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
+    return sent.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(lambda it: _group_links(it, budget), "u bigint, v bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> DataFrame:
-    """(id, fp, component_id, root) and `more` for every row; component_id is the least id of the row's component, root a key of it."""
-    rows = cut_lineage(fingerprints(df, width, id_col, text_col, more))
+def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None, budget: int = BUDGET, bands: int = 0) -> DataFrame:
+    """(id, fp, component_id, root) and `more` for every row; component_id is the least id of the row's component, root a key of it.
+
+    Links are all pairs within `budget` bits or, with `bands`, those of them that share a band's key.
+    """
+    rows = cut_lineage(fingerprints(df, width, id_col, text_col, more, bands))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(classes), "u", "v")
+    links = banded_links(rows, budget) if bands else near_links(classes, budget)
+    roots = components(links, "u", "v")
+    rows = rows.drop("bands")
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
     return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, bands: int = 0) -> DataFrame:
     """The rows of `docs` whose id is the least of their component, one for each component.
 
     Only ids and fingerprints are joined. Where several rows of a component share its least id (or all ids are null),
@@ -211,6 +275,6 @@ def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     """
     names = docs.columns
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    near = near_duplicates(rows, width, id_col, text_col, more=["_row"])
+    near = near_duplicates(rows, width, id_col, text_col, ["_row"], budget, bands)
     first = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
     return rows.join(first.select("_row"), "_row", "left_semi").select(*names)
