@@ -1 +1,6 @@
-"""plans of the engine."""
+"""Named queries over the test tables."""
+
+from . import retrieval_queries, text_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
