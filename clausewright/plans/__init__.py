@@ -1,6 +1,6 @@
 """Named queries over the test tables."""
 
-from . import retrieval_queries, text_queries  # noqa: F401
+from . import ledger_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
