@@ -102,7 +102,7 @@ def corpus_stats_transposed(t):
 
 
 @query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice::DOUBLE, 0.25) AS q1, quantile_cont(l_extendedprice::DOUBLE, 0.75) AS q3 FROM lineitem GROUP BY 1)
-SELECT l_returnflag, round(q1, 2) AS q1, round(q3, 2) AS q3, max(l_extendedprice::DOUBLE) FILTER (l_extendedprice <= q3 + 1.5 * (q3 - q1)) AS whisker FROM lineitem JOIN q USING (l_returnflag) GROUP BY ALL""")
+SELECT l_returnflag, round(q1, 4) AS q1, round(q3, 4) AS q3, max(l_extendedprice::DOUBLE) FILTER (l_extendedprice <= q3 + 1.5 * (q3 - q1)) AS whisker FROM lineitem JOIN q USING (l_returnflag) GROUP BY ALL""")
 def boxplot_stats(t):
     return a.box(t("lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price")), "l_returnflag", "price")
 
