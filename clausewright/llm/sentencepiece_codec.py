@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-The distinct words of a batch are grouped by length and a group's words advance together: at each end position the
-hash of every substring that ends there is probed in the sorted hashes of the pieces, and a vectorised maximum keeps
-the best predecessor of every word. For unigram models the maximum is that of summed scores. In models built by
+A batch of texts is one array of characters. It is cut into words wherever two characters meet that no piece holds side
+by side (so before every space, too); words are told apart by two 64-bit hashes, and the ids of known words are kept in
+one pool. New words are grouped by length and a group's words advance together: at each end position the hash of every
+substring that ends there is probed in the sorted hashes of the pieces, and a vectorised maximum keeps the best
+predecessor of every word. For unigram models the maximum is that of summed scores. In models built by
 merges a piece may follow another only if merging their joined text gives just those two again; with that rule every
 prefix has one admissible last piece, so the same search gives exactly what the merges would (the rule's
 answers are kept in a table of fixed size). Words over LONGEST characters, and words that begin with several
@@ -18,9 +20,7 @@ stay; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,14 @@ from .common import text_of, texts
 
 SPACE = "▁"
 LONGEST = 40
-WORDS_KEPT = 100_000
+WORDS_KEPT = 1_000_000
 PAIR_BITS = 21
 PAIRS = 1 << PAIR_BITS
 SLICE = 500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)  # moves what short pieces differ in to the upper bits
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_SECOND = np.uint64(0xBF58476D1CE4E5B9)
+_NEAR = 512  # character codes below this have a table of pairs
 
 
 class Codec:
@@ -51,7 +52,6 @@ class Codec:
         plain = [i for i in range(self.n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.id_of = {self.pieces[i]: i for i in plain}
         self.unknown = sp.unk_id()
-        self.ints = list(range(self.n))  # one object for each id in the table of words
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(self.n) if sp.is_byte(i)}
         whole = self.scores[plain]
         self.merges = bool((whole == np.rint(whole)).all())
@@ -68,10 +68,14 @@ class Codec:
         for i in plain:
             self.codes[i, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
         self.pair_keys, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
-        self.neighbours = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
-        self.lines = not any("\n" in p for p in self.id_of)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        pairs = {(ord(p[k]), ord(p[k + 1])) for p in self.id_of for k in range(len(p) - 1)}
+        self.pairs = np.sort(np.array([a << 21 | b for a, b in pairs], np.int64))
+        self.near = np.zeros((_NEAR + 1, _NEAR + 1), bool)
+        small = [(_NEAR if a == ord(SPACE) else a, _NEAR if b == ord(SPACE) else b) for a, b in pairs]
+        for a, b in small:
+            if a <= _NEAR and b <= _NEAR:
+                self.near[a, b] = True
+        self._forget()
         self.bytes_of = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for value, i in self.byte.items():
             self.bytes_of[i] = bytes([value])
@@ -80,6 +84,9 @@ class Codec:
                 self.bytes_of[i] = b""
             elif sp.is_unknown(i):
                 self.bytes_of[i] = " ⁇ ".encode()
+        self.byte_sizes = np.array(list(map(len, self.bytes_of)))
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def _directory(self) -> None:
         """Where in the sorted keys those with given upper bits begin, and how many share them at most."""
@@ -167,10 +174,9 @@ class Codec:
         ok[need] = found
         return ok
 
-    def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words of one length."""
-        n, size = len(words), len(words[0])
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
+    def viterbi(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, given as rows of character codes: all ids in a row, and how many each word has."""
+        n, size = code.shape
         prefix = np.zeros((n, size + 1), np.uint64)
         for k in range(size):
             prefix[:, k + 1] = prefix[:, k] * _BASE + code[:, k] + np.uint64(1)
@@ -217,64 +223,138 @@ class Codec:
             path[open_, size - steps[open_]] = last[open_, at[open_]]
             at[open_] -= width[open_, at[open_]]
             open_ = open_[at[open_] > 0]
-        return [self._spelled(row[size - k :]) for row, k in zip(path.tolist(), steps.tolist(), strict=True)]
-
-    def _spelled(self, ids: list[int]) -> tuple[int, ...]:
-        if max(ids) < self.n:
-            return tuple(map(self.ints.__getitem__, ids))
-        return tuple(chain.from_iterable([i] if i < self.n else [self.byte.get(b, self.unknown) for b in chr(i - self.n).encode("utf-8", "replace")] if self.byte else [self.unknown] for i in ids))
-
-    def encode_words(self, words: set[str]) -> None:
-        """Put the ids of `words` into the table of known words."""
-        groups: dict[int, list[str]] = {}
-        if self.merges:  # two characters that no piece holds together are never merged: mostly a word and its stop
-            halves = {w: (w[:-1], w[-1]) for w in words if 2 < len(w) <= LONGEST and w[-2:] not in self.neighbours}
-            words = words.difference(halves).union(p for h in halves.values() for p in h if p not in self.words)
-        for w in words:
-            if len(w) > LONGEST or (self.merges and w.startswith(SPACE * 2)):
-                self.words[w] = self._spelled(self.merged(w)) if self.merges else self.viterbi([w])[0]
-            else:
-                groups.setdefault(len(w), []).append(w)
-        for group in groups.values():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                self.words.update(zip(part, self.viterbi(part), strict=True))
-        if self.merges:
-            self.words.update((w, self.words[a] + self.words[b]) for w, (a, b) in halves.items())
-
-    def units(self, text: str) -> list[str]:
-        """The words of a text; no piece reaches over the start of a word."""
-        if not text:
-            return []
-        if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            if not self.lines:
-                return [SPACE + w for w in text.split(" ")]
-            out: list[str] = []
-            for k, line in enumerate(text.split("\n")):  # no piece holds a line feed
-                first, *rest = line.split(" ")
-                if k:
-                    out.append("\n")
-                if not k or first:
-                    out.append(first if k else SPACE + first)
-                out += [SPACE + w for w in rest]
-            return out
-        return _UNITS.findall(SPACE + text.replace(" ", SPACE))
+        return self._spelled(path[path >= 0], steps)
+
+    def _spelled(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unknown characters as byte pieces."""
+        strange = np.flatnonzero(ids >= self.n)
+        if not len(strange):
+            return ids.astype(np.int32), counts
+        spelled = [[self.byte.get(b, self.unknown) for b in chr(i - self.n).encode("utf-8", "replace")] if self.byte else [self.unknown] for i in ids[strange].tolist()]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[strange] = list(map(len, spelled))
+        out = np.repeat(ids, sizes)
+        starts = np.cumsum(sizes) - sizes
+        for at, piece in zip(starts[strange].tolist(), spelled, strict=True):
+            out[at : at + len(piece)] = piece
+        return out.astype(np.int32), np.add.reduceat(sizes, np.cumsum(counts) - counts)
+
+    def _forget(self) -> None:
+        self.known, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.int32)
+
+    def _cuts(self, code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where words begin; texts begin at `starts`."""
+        left, right = code[:-1], code[1:]
+        space = ord(SPACE)
+        a = np.where(left == space, _NEAR, np.minimum(left, _NEAR + 1))
+        b = np.where(right == space, _NEAR, np.minimum(right, _NEAR + 1))
+        joined = np.zeros(len(left), bool)
+        small = (a <= _NEAR) & (b <= _NEAR) & ((left < _NEAR) | (left == space)) & ((right < _NEAR) | (right == space))
+        joined[small] = self.near[a[small], b[small]]
+        rest = np.flatnonzero(~small)
+        if len(rest):
+            keys = (left[rest].astype(np.int64) << 21) | right[rest]
+            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            joined[rest] = self.pairs[at] == keys
+        first = np.append(True, ~joined)
+        first[starts] = True
+        return np.flatnonzero(first)
+
+    def _learn(self, code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Put the ids of new words into the pool."""
+        if len(self.known) + len(keys) > WORDS_KEPT:
+            self._forget()
+        flat, places, counts = [], [], []
+        spaces = (sizes > 1) & (code[starts] == ord(SPACE)) & (code[np.minimum(starts + 1, len(code) - 1)] == ord(SPACE))
+        alone = self.merges & ((sizes > LONGEST) | spaces)
+        for k in np.flatnonzero(alone).tolist():
+            word = code[starts[k] : starts[k] + sizes[k]].tobytes().decode("utf-32-le", "surrogatepass")
+            ids, count = self._spelled_one(self.merged(word))
+            flat.append(ids)
+            places.append([k])
+            counts.append(count)
+        for size in np.unique(sizes[~alone]).tolist():
+            rows = np.flatnonzero((sizes == size) & ~alone)
+            for at in range(0, len(rows), 4096):
+                part = rows[at : at + 4096]
+                ids, count = self.viterbi(code[starts[part][:, None] + np.arange(size)])
+                flat.append(ids)
+                places.append(part)
+                counts.append(count)
+        places, counts = np.concatenate(places), np.concatenate(counts)
+        at = len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, *flat])
+        every = np.concatenate([self.known, keys[places]])
+        order = np.argsort(every)
+        self.known, self.check = every[order], np.concatenate([self.check, checks[places]])[order]
+        self.at, self.count = np.concatenate([self.at, at])[order], np.concatenate([self.count, counts])[order]
+
+    def _spelled_one(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return self._spelled(np.array(ids, np.int64), np.array([len(ids)]))
+
+    def encode_arrays(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin (and, last, end)."""
+        spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in batch]
+        code = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.cumsum([0, *map(len, spaced)])
+        if not len(code):
+            return np.empty(0, np.int32), np.zeros(len(batch) + 1, np.int64)
+        starts = self._cuts(code, edges[:-1][np.diff(edges) > 0])
+        ends = np.append(starts[1:], len(code))
+        value = code.astype(np.uint64) + np.uint64(1)
+        keys, checks = (self._word_hashes(value, starts, ends, base) for base in (_BASE, _SECOND))
+        distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        slot = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        here = (self.known[slot] == distinct) & (self.check[slot] == checks[one]) if len(self.known) else np.zeros(len(distinct), bool)
+        if not here.all():
+            before = len(self.known)
+            fresh = one[~here]
+            if before + len(fresh) > WORDS_KEPT:
+                fresh = one  # the table starts anew
+            self._learn(code, starts[fresh], (ends - starts)[fresh], keys[fresh], checks[fresh])
+            slot = np.searchsorted(self.known, distinct)
+        at, count = self.at[slot][which], self.count[slot][which]
+        total = np.cumsum(count)
+        ids = self.pool[np.repeat(at - (total - count), count) + np.arange(total[-1])]
+        sums = np.append(0, total)
+        return ids, sums[np.searchsorted(starts, edges)]
+
+    @staticmethod
+    def _word_hashes(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
+        up, down = _powers(len(value), int(base)), _powers(len(value), pow(int(base), -1, 1 << 64))
+        sums = np.append(np.uint64(0), np.cumsum(value * up))
+        h = (sums[ends] - sums[starts]) * down[starts]
+        return (h ^ (h >> np.uint64(29))) * _SPREAD + (ends - starts).astype(np.uint64)
 
     def encode(self, batch: list[str]) -> list[list[int]]:
-        rows = [self.units(t) for t in batch]
-        wanted = set(chain.from_iterable(rows))
-        if len(self.words) > WORDS_KEPT:  # two generations: what is asked for again stays
-            self.older, self.words = self.words, {}
-        fresh = wanted.difference(self.words)
-        known = fresh.intersection(self.older)
-        self.words.update(zip(known, map(self.older.__getitem__, known)))
-        self.encode_words(fresh - known)
-        get = self.words.__getitem__
-        return [list(chain.from_iterable(map(get, r))) for r in rows]
+        ids, edges = self.encode_arrays(batch)
+        flat = ids.tolist()
+        return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    def decode_arrays(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """The texts of ids in a row."""
+        sizes = self.byte_sizes[ids]
+        total = np.cumsum(sizes)
+        data = self.byte_pool[np.repeat(self.byte_starts[ids] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)].tobytes()
+        at = np.append(0, total)[edges].tolist()
+        return [(data[a + 1 : b] if data[a : a + 1] == b" " else data[a:b]).decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decode_arrays(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first n powers; the longest row asked for so far is kept."""
+    if len(_POWERS.get(base, ())) < n:
+        x = np.full(1 << max(21, (n - 1).bit_length()), base, np.uint64)
+        x[0] = 1
+        _POWERS[base] = np.multiply.accumulate(x)
+    return _POWERS[base][:n]
 
 
 @functools.cache
@@ -294,12 +374,10 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 own = texts(part.column(1))
-                ids = c.encode(own)
-                sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
-                out = [part.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+                ids, edges = c.encode_arrays(own)
+                out = [part.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))]
                 if check:
-                    back = [c.decode(i) for i in ids]
+                    back = c.decode_arrays(ids, edges)
                     out += [pa.array(back, pa.string()), pa.array([a == b for a, b in zip(own, back, strict=True)])]
                 yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded", "same"][: len(out)])
 

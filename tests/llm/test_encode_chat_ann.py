@@ -55,7 +55,6 @@ def test_unigram_models_take_the_best_sum():
     c = object.__new__(sentencepiece_codec.Codec)
     pieces = ["<unk>", "▁", "a", "b", "ab", "ba", "▁a", "aba", "▁ab"]
     scores = [0, -3.1, -2.2, -2.3, -3.05, -3.0, -3.7, -4.1, -4.9]
-    c.ints = list(range(len(pieces)))
     c.n, c.pieces, c.scores, c.unknown, c.byte, c.merges = len(pieces), pieces, np.array(scores), 0, {}, False
     c.id_of = {p: i for i, p in enumerate(pieces) if i}
     c.longest = 3
@@ -74,7 +73,7 @@ def test_unigram_models_take_the_best_sum():
         return max([scores[i] + best(word[len(p) :]) for p, i in c.id_of.items() if word.startswith(p)], default=-np.inf)
 
     for word in ("▁" + "".join(w) for n in (1, 3, 6) for w in product("ab", repeat=n)):
-        ids = c.viterbi([word])[0]
+        ids = c.viterbi(np.array([[ord(x) for x in word]], np.uint32))[0].tolist()
         assert "".join(pieces[i] for i in ids) == word and np.isclose(sum(scores[i] for i in ids), best(word))
 
 
