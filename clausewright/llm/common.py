@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 8
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,3 +46,13 @@ def kept_table(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join in which one key may hold a large share of `large`; `small` has one row a key.
+
+    The rows of a key in `large` go to SALTS tasks by a hash of `spread`; `small` is repeated for each.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("_salt", salt).join(each, [key, "_salt"]).drop("_salt")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of, utf8
+from .common import cut_lineage, salted_join, text_of, utf8
 from .components import components
 
 SEED = 42
@@ -261,9 +261,12 @@ def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col:
     links = banded_links(rows, budget) if bands else near_links(classes, budget)
     roots = components(links, "u", "v")
     rows = rows.drop("bands")
-    linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = cut_lineage(every.join(classes, F.col("node") == F.col("fp")).select("fp", "least", "root"))
+    low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = salted_join(linked.select(F.col("fp").alias("_node"), "root"), low, "root", "_node")
+    named = classes.join(joined, F.col("fp") == F.col("_node"), "left")
+    named = named.select(F.col("fp").alias("_fp"), F.when(F.col("_node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
