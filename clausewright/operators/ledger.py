@@ -136,3 +136,46 @@ def nested_sources(df: DataFrame, most: int = 5) -> Column:
         if f"source{k}_id" in df.columns
     ]
     return F.filter(F.array(*slots), lambda s: ~blank(s["id"]))
+
+
+def completed_ids(df: DataFrame, column: str) -> DataFrame:
+    """Distinct trimmed ids that are not empty."""
+    return df.select(F.trim(F.col(column).cast("string")).alias(column)).where((F.col(column) != "") & F.col(column).isNotNull()).distinct()
+
+
+def has_retrieval(sources: Column) -> Column:
+    """Whether any source carries a fused score."""
+    return F.exists(sources, lambda s: s["rrf"].isNotNull())
+
+
+def group_complete(df: DataFrame, groups: dict[str, list[str]]) -> list[Column]:
+    """For each named group of metric columns: whether any is neither zero nor missing."""
+    out = []
+    for name, columns in groups.items():
+        some = F.lit(False)
+        for c in columns:
+            x = number(F.col(c))
+            some = some | F.coalesce(x != 0, F.lit(False))
+        out.append(some.alias(name))
+    return out
+
+
+def preserved(previous: Column, fresh: Column, score: Column, least: float = 0.01) -> Column:
+    """A stored retrieval stays where its score passes `least`, and otherwise only fills what is missing."""
+    return F.when(number(score) > least, previous).otherwise(F.coalesce(fresh, previous))
+
+
+def reconciled(ledger: DataFrame, healed: DataFrame, flagged: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Flagged rows out, healed rows in, and the last of each key kept."""
+    return keep_last(ledger.join(flagged.select(*keys).distinct(), keys, "left_anti").unionByName(healed), keys, place)
+
+
+def click_order(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Numeric order where a cell is a number, else that of the lower-case text; numbers come first."""
+    keys = [number(F.col(column)), F.lower(F.col(column).cast("string"))]
+    return df.orderBy(*(k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys))
+
+
+def blind_sheets(sample: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The annotators' sheet without what would give the system away, and the key that has it."""
+    return sample.drop(*hidden), sample.select("item_id", *hidden)
