@@ -30,10 +30,10 @@ def json_round_trip(t):
     return files.read_json(c.sparkSession, path, "conv_id bigint, turn bigint, role string, text string").select("conv_id", "turn", "role", F.md5("text").alias("body"))
 
 
-@query("""WITH p AS (SELECT page_id, i::INT AS page_no, s[i] AS part, url FROM (SELECT page_id, url, string_split(html, chr(10)) AS s FROM pages), range(1, 4) r(i) WHERE i <= len(s))
+@query("""WITH p AS (SELECT page_id, i::INT AS page_no, s[i] AS part, url FROM (SELECT page_id, url, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, url, string_split(html, chr(10)) AS s FROM pages)))
 SELECT page_id, page_no, md5(part) AS body, CASE WHEN page_id % 2 = 0 THEN 'foot 2015 - 2018' ELSE url || ' Page ' || page_no END AS footer FROM p""")
 def paged_text(t):
-    parts = F.array_join(F.slice(F.split("html", "\n"), 1, 3), "\f")
+    parts = F.replace("html", F.lit("\n"), F.lit("\f"))
     rows = t("pages").select("page_id", "url", F.inline(files.pages(parts)))
     last = F.when(F.col("page_id") % 2 == 0, "foot 2015 - 2018").otherwise("foot")
     page = files.with_footer(F.concat(F.lit("body\n"), last), F.col("url"), F.col("page_no"))

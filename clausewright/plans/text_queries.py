@@ -58,9 +58,9 @@ def detect_language(t):
 
 
 @query("""SELECT item_id, k, CASE WHEN regexp_matches(q, '\\b(?:19|20)\\d{2}\\b') THEN q WHEN k = 1 THEN q || ' convention collective 2020 - 2025' ELSE q || ' collective agreement 2020 - 2025' END AS augmented
-FROM (SELECT item_id, k, substr(text, 1, 40) || CASE k WHEN 2 THEN ' in 2022' WHEN 3 THEN ' Clause 3000' ELSE '' END AS q FROM benchmark, range(4) r(k))""")
+FROM (SELECT item_id, k, text || CASE k WHEN 2 THEN ' in 2022' WHEN 3 THEN ' Clause 3000' ELSE '' END AS q FROM benchmark, range(4) r(k))""")
 def year_augmentation(t):
-    rows = t("benchmark").select("item_id", F.substr("text", F.lit(1), F.lit(40)).alias("q"), F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(4)))).alias("k"))
+    rows = t("benchmark").select("item_id", F.col("text").alias("q"), F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(4)))).alias("k"))
     q = F.concat("q", F.when(F.col("k") == 2, " in 2022").when(F.col("k") == 3, " Clause 3000").otherwise(""))
     return rows.select("item_id", "k", text.augment_with_year(q, F.when(F.col("k") == 1, "fr").otherwise("en")).alias("augmented"))
 
@@ -107,11 +107,11 @@ def citation_score(t):
     return cited(t).select("doc_id", citation.accuracy(F.col("answer"), F.col("gold")).alias("score"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, {CITED} AS s FROM documents) SELECT doc_id, regexp_extract(s, '(?i)(?:article|clause)\\s+(\\d{{1,3}})', 1) AS first_article,
+@query(f"""WITH x AS (SELECT doc_id, {CITED} || text AS s FROM documents) SELECT doc_id, regexp_extract(s, '(?i)(?:article|clause)\\s+(\\d{{1,3}})', 1) AS first_article,
 regexp_replace(regexp_replace(' ' || (doc_id % 9) || '.' || (doc_id % 5) || '(a). ', '\\(([^)]*)\\)', '.\\1', 'g'), '^[ .]+|[ .]+$', '', 'g') AS normal FROM x""")
 def article_numbers(t):
     d = F.col("doc_id")
-    return cited(t).select("doc_id", citation.first_article(F.substr("answer", F.lit(1), F.lit(60))).alias("first_article"), citation.dotted_id(F.concat(F.lit(" "), d % 9, F.lit("."), d % 5, F.lit("(a). "))).alias("normal"))
+    return cited(t).select("doc_id", citation.first_article(F.col("answer")).alias("first_article"), citation.dotted_id(F.concat(F.lit(" "), d % 9, F.lit("."), d % 5, F.lit("(a). "))).alias("normal"))
 
 
 @query("""WITH x AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'Llama3.2:3b-instruct-q4_K_M' WHEN 1 THEN ' llama3.2:3b-GPU' WHEN 2 THEN 'mistral:latest' ELSE 'judge:' END AS s FROM embeddings)
@@ -184,12 +184,12 @@ def context_budget(t):
 
 
 @query("""SELECT doc_id, CASE WHEN n < 18 THEN 'easy' WHEN n < 35 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN n % 10 >= 7 THEN 'high' WHEN n % 10 >= 4 THEN 'mid' ELSE 'low' END AS class,
-replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN '1' ELSE '2.5' END AS entered
+md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN '1' ELSE '2.5' END AS entered
 FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[^\\s]+')) AS n FROM documents)""")
 def difficulty_and_classes(t):
     n = text.token_count(F.col("text"))
     entered = F.when(n % 3 == 0, "nan").when(n % 3 == 1, "1.0").otherwise("2.5")
-    return t("documents").select("doc_id", text.difficulty(F.col("text")).alias("difficulty"), text.score_class(F.round(n % 10 / F.lit(10.0), 1)).alias("class"), text.escape_html(F.substr("text", F.lit(1), F.lit(200))).alias("escaped"), text.whole_number(entered).alias("entered"))
+    return t("documents").select("doc_id", text.difficulty(F.col("text")).alias("difficulty"), text.score_class(F.round(n % 10 / F.lit(10.0), 1)).alias("class"), F.md5(text.escape_html(F.col("text"))).alias("escaped"), text.whole_number(entered).alias("entered"))
 
 
 @query()
