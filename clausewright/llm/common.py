@@ -49,10 +49,10 @@ def kept_table(df: DataFrame) -> DataFrame:
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
-    """Inner join in which one key may hold a large share of `large`; `small` has one row a key.
+    """Inner merge join in which one key may hold a large share of `large`; `small` has one row a key.
 
     The rows of a key in `large` go to SALTS tasks by a hash of `spread`; `small` is repeated for each.
     """
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return large.withColumn("_salt", salt).join(each, [key, "_salt"]).drop("_salt")
+    return large.withColumn("_salt", salt).join(each.hint("merge"), [key, "_salt"]).drop("_salt")

@@ -92,11 +92,11 @@ def _owned(docs: DataFrame, max_owners: int) -> DataFrame:
     # a value's rows are first reduced to one per owner, so a value in a third of all documents is a few rows
     repos = held.select("h", "owner", "id").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"))
     counts = repos.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    rated = held.select("id", "text_key", "h").distinct().join(counts, "h")
+    rated = held.select("id", "text_key", "h").distinct().join(counts.hint("merge"), "h")
     by_doc = rated.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("h", "owners"))).alias("owners"))
     plain = docs.where((F.size("base") == 0) & (F.size("more") == 0)).withColumn("owners", F.lit(None).cast("map<string,bigint>"))
     listed = docs.where((F.size("base") > 0) | (F.size("more") > 0))
-    listed = listed.join(by_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").drop("_id", "_key")
+    listed = listed.join(by_doc.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").drop("_id", "_key")
     both = plain.unionByName(listed)
 
     def owners(s: Column) -> Column:
@@ -140,6 +140,6 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """`docs` with every span of `scan` masked."""
     found = scan(docs, id_col, text_col, owner_col).where(F.size("spans") > 0).groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
     rows = docs.withColumn("_text_key", F.xxhash64(text_of(text_col)))
-    rows = rows.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    rows = rows.join(found.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     text = F.when(F.col("_spans").isNull(), text_of(text_col)).otherwise(masked(text_of(text_col), F.col("_spans")))
     return rows.withColumn(text_col, text).select(*docs.columns)

@@ -246,7 +246,7 @@ def banded_links(rows: DataFrame, budget: int) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / NODE).cast("int")
     part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    members = keyed.join(sizes, "key").select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    members = keyed.join(sizes.hint("merge"), "key").select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     sent = members.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
     return sent.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(lambda it: _group_links(it, budget), "u bigint, v bigint").distinct()
 
@@ -262,12 +262,13 @@ def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col:
     roots = components(links, "u", "v")
     rows = rows.drop("bands")
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = cut_lineage(every.join(classes, F.col("node") == F.col("fp")).select("fp", "least", "root"))
+    linked = cut_lineage(every.join(classes.hint("merge"), F.col("node") == F.col("fp")).select("fp", "least", "root"))
     low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = salted_join(linked.select(F.col("fp").alias("_node"), "root"), low, "root", "_node")
-    named = classes.join(joined, F.col("fp") == F.col("_node"), "left")
+    named = classes.join(joined.hint("merge"), F.col("fp") == F.col("_node"), "left")
     named = named.select(F.col("fp").alias("_fp"), F.when(F.col("_node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+    # read back, so that both sides come from plain exchanges and a fingerprint of many copies can be split at run time
+    return rows.join(cut_lineage(named).hint("merge"), F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, bands: int = 0) -> DataFrame:
@@ -280,4 +281,4 @@ def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     near = near_duplicates(rows, width, id_col, text_col, ["_row"], budget, bands)
     first = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
-    return rows.join(first.select("_row"), "_row", "left_semi").select(*names)
+    return rows.join(first.select("_row").hint("merge"), "_row", "left_semi").select(*names)

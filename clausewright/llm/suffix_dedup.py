@@ -284,21 +284,21 @@ def remove_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH, ho
     runs = kept_table(runs)
     classes = runs.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin"), F.min(F.struct("k1", "k2", "begin", "end")).alias("one"))
     kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    classes = cut_lineage(classes.join(kinds, "anchor").where("n > 1 or kinds > 1 or twin"))
-    alike = runs.join(classes.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k1", "k2", "begin", "end")
+    classes = cut_lineage(classes.join(kinds.hint("merge"), "anchor").where("n > 1 or kinds > 1 or twin"))
+    alike = runs.join(classes.where("n > 1").select("anchor", "span").hint("merge"), ["anchor", "span"]).select("k1", "k2", "begin", "end")
 
     stand = classes.where("kinds > 1 or (n = 1 and twin)").select("one.*", "anchor", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
     wanted = stand.groupBy("k1", "k2", "hot").agg(F.collect_list(F.struct("begin", "end", "anchor", "single")).alias("runs"))
-    read = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "runs", "hot")
+    read = texts.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "runs", "hot")
     head = "k1 bigint, k2 bigint, begin bigint, anchor bigint, single boolean"
     spans = read.where("not hot").drop("hot").mapInArrow(lambda it: _spans(it, width, False), f"{head}, bytes binary")
     sorted_ = spans.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _sorted_pieces(it, width, piece), "k1 bigint, k2 bigint, begin bigint, end bigint")
     named = read.where("hot").drop("hot").mapInArrow(lambda it: _spans(it, width, True), f"{head}, w1 bigint, w2 bigint")
     twice = named.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hot_ = named.where("single").join(twice, ["w1", "w2"]).select("k1", "k2", "begin", (F.col("begin") + 1).alias("end"))
+    hot_ = named.where("single").join(twice.hint("merge"), ["w1", "w2"]).select("k1", "k2", "begin", (F.col("begin") + 1).alias("end"))
 
     ranges = alike.unionByName(sorted_).unionByName(hot_).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    both = texts.select("k1", "k2", "text").join(ranges, ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
+    both = texts.select("k1", "k2", "text").join(ranges.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
     return both.mapInArrow(lambda it: _cut(it, width), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
@@ -307,6 +307,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
     cut = remove_repeats(docs, text_col, width).where("n_removed > 0").select(F.col("k1").alias("_c1"), F.col("k2").alias("_c2"), F.col("kept").alias("_kept"))
     names = docs.columns
     k1, k2 = keys_of(text_of(text_col))
-    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(cut, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left")
+    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(cut.hint("merge"), (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left")
     valid = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     return rows.withColumn(text_col, F.when(F.col("_kept").isNull(), text_of(text_col)).otherwise(valid)).select(*names)
