@@ -31,8 +31,8 @@ from .common import text_of, texts
 
 WINDOW = 1024
 BLOCK = 1_000_000
-GRID = 64
-OPEN, SENTENCE, INSIDE = 4, 2, 40
+GRID = 16
+OPEN, SENTENCE, INSIDE = 16, 1, 6
 SEQUENCES_A_TASK = 1 << 36
 
 SCHEMA = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens int, cut string"
