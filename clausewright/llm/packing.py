@@ -31,7 +31,7 @@ from .common import text_of, texts
 
 WINDOW = 1024
 BLOCK = 1_000_000
-GRID = 16
+GRID = 32
 OPEN, SENTENCE, INSIDE = 16, 1, 6
 SEQUENCES_A_TASK = 1 << 36
 
