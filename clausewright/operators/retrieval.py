@@ -23,20 +23,29 @@ def postings(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -
     return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def idf(index: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, idf): ln of the odds; negative values are FLOOR times the mean over the vocabulary. n_docs has one row (n)."""
-    raw = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))
+def idf(words: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(term, idf): ln of the odds; negative values are FLOOR times the mean over the vocabulary. n_docs has one row (n).
+
+    Documents are counted from each one's distinct terms, so only (term, count) pairs combined a task are shuffled.
+    """
+    raw = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))
     raw = raw.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, k: int | None = None) -> DataFrame:
-    """(item_id, doc_id, score[, rank]) of documents that share a term with a question (columns item_id, text)."""
-    index = postings(docs)
-    corpus = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    """(item_id, doc_id, score[, rank]) of documents that share a term with a question (columns item_id, text).
+
+    Only occurrences of the questions' terms are grouped into postings.
+    """
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))  # one row
     terms = questions.select("item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    weights = idf(index, corpus.select("n")).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = terms.select("term").distinct()
+    weights = idf(words, corpus.select("n")).join(asked, "term", "left_semi")
+    found = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
+    index = found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     hits = index.join(terms, "term").join(weights, "term").crossJoin(F.broadcast(corpus.select("avgdl")))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * tf), 6).alias("score"))
