@@ -7,6 +7,9 @@ most MAX_NODES equally filled nodes; a pair of nodes whose prefixes already diff
 A task hands on a spanning forest of the links it found, not the links, and the forests are joined
 by distributed star steps, so no group of copies is expanded into pairs.
 
+`keep_one` links by the texts themselves: keys of least hashes select candidates, and the exact Jaccard similarity of
+their shingle sets decides.
+
 Defined cases: a null text is empty and has fingerprint zero, like any text without words; texts of fewer
 words than a shingle give one shingle; rows with equal fingerprints are linked; a null id takes no part in
 the minimum; repeated rows stay; an empty table gives an empty table.
@@ -32,6 +35,8 @@ BUDGET = 4
 NODE = 4096
 MAX_NODES = 1024
 LEAF = 128
+SETS = 1024  # shingle sets in a part of a group, at most about
+HASHES = 1 << 20
 SLICE = 1 << 20
 _ALL = (1 << 64) - 1
 _ODD = np.random.default_rng(23).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,8 +264,12 @@ def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col:
     rows = cut_lineage(fingerprints(df, width, id_col, text_col, more, bands))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     links = banded_links(rows, budget) if bands else near_links(classes, budget)
+    return _grouped(rows.drop("bands"), classes, links)
+
+
+def _grouped(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with component_id and root, from the links (u, v) among their fp; `classes` has the least id of each fp."""
     roots = components(links, "u", "v")
-    rows = rows.drop("bands")
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = cut_lineage(every.join(classes.hint("merge"), F.col("node") == F.col("fp")).select("fp", "least", "root"))
     low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -271,14 +280,101 @@ def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col:
     return rows.join(cut_lineage(named).hint("merge"), F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, bands: int = 0) -> DataFrame:
+def set_keys(df: DataFrame, width: int, bands: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, n_set, bands, _row): fp is a hash of the set of a text's shingles here, n_set its size."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in utf8(batch.column(1))]
+            fps = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(h, bands).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([len(h) for h in sets], pa.int64()), keys, batch.column(2)], names=["id", "fp", "n_set", "bands", "_row"])
+
+    return df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), "_row").mapInArrow(rows, "id bigint, fp bigint, n_set bigint, bands array<bigint>, _row bigint")
+
+
+def set_forest(sets: list[np.ndarray], first: int, alike: float) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that span the components of all pairs of sets with a Jaccard similarity of at least `alike`.
+
+    With `first` only pairs of one of the first `first` sets and one of the others count. Pairs already joined are not compared.
+    """
+    size = np.array([len(x) for x in sets])
+    stop = np.cumsum(size)
+    start = stop - size
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(values), bool)
+    label = np.arange(len(sets))
+    for i in range(first or 1, len(sets)):
+        to = first or i
+        smaller, larger = np.minimum(size[:to], size[i]), np.maximum(size[:to], size[i])
+        open_ = np.flatnonzero((label[:to] != label[i]) & (smaller >= alike * larger - 1e-6) & (larger > 0))
+        if not len(open_):
+            continue
+        mine[places[start[i] : stop[i]]] = True
+        if 4 * len(open_) < to:
+            both = np.array([np.count_nonzero(mine[places[start[j] : stop[j]]]) for j in open_.tolist()])
+        else:
+            sums = np.append(0, np.cumsum(mine[places[: stop[to - 1]]]))
+            both = sums[stop[open_]] - sums[start[open_]]
+        mine[places[start[i] : stop[i]]] = False
+        for j in open_[both / (size[open_] + size[i] - both) >= alike].tolist():
+            if label[j] != label[i]:
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
+def _set_links(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
+    """The links in each (key, a, b) of rows sorted by these; columns key, a, b, part, fp, hashes."""
+    for _, rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:3]):
+        rows = sorted(rows, key=lambda r: r[3:5])  # at most about two parts
+        first = sum(r[3] == r[1] for r in rows) if rows[0][1] != rows[0][2] else 0
+        if rows[0][1] != rows[0][2] and first in (0, len(rows)):
+            continue  # the hash left one of the parts empty
+        out = [(rows[i][4], rows[j][4]) for i, j in set_forest([np.frombuffer(r[5], "<u8") for r in rows], first, alike)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+
+def alike_links(docs: DataFrame, rows: DataFrame, width: int, alike: float, text_col: str) -> DataFrame:
+    """(u, v): forests of the pairs of shingle sets that share a band's key and are alike in `alike`, counted exactly.
+
+    Sets are made again from the texts of those rows only that share a key. Keys shared by the same sets are one group. A group of
+    more than SETS sets or HASHES hashes is cut into parts by hash, and all pairs of parts are compared.
+    """
+    classes = rows.groupBy("fp").agg(F.min(F.struct("_row", "n_set", "bands")).alias("one")).select("fp", "one.*")
+    keyed = cut_lineage(classes.select("fp", "_row", "n_set", F.explode("bands").alias("key")).distinct())
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("sign"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.sum("n_set").alias("hashes")]
+    groups = keyed.groupBy("key").agg(*same).where("n > 1").groupBy("n", "sign", "low", "high", "hashes").agg(F.min("key").alias("key"))
+    parts = F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("hashes") / HASHES)).cast("int")
+    members = keyed.join(groups.select("key", parts.alias("parts")).hint("merge"), "key")
+    wanted = members.groupBy("_row", "fp").agg(F.collect_list(F.struct("key", "parts")).alias("groups"))
+    names = ["key", "a", "b", "part", "fp", "hashes"]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, fp, its in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                hashes = np.unique(shingle_hashes(raw, width)).tobytes()
+                out = [(g["key"], min(p, o), max(p, o), p, fp, hashes) for g in its for p in [(fp * int(_ODD[0]) & _ALL) % g["parts"]] for o in range(g["parts"])]
+                for at in range(0, len(out), 64):
+                    cols = zip(*out[at : at + 64], strict=True)
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    texts = docs.select("_row", text_of(text_col).alias("text")).join(wanted.hint("merge"), "_row").select("text", "fp", "groups")
+    pieces = texts.mapInArrow(sent, "key bigint, a int, b int, part int, fp bigint, hashes binary")
+    return pieces.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lambda it: _set_links(it, alike), "u bigint, v bigint").distinct()
+
+
+def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", alike: float = 0.8, bands: int = 8) -> DataFrame:
     """The rows of `docs` whose id is the least of their component, one for each component.
 
-    Only ids and fingerprints are joined. Where several rows of a component share its least id (or all ids are null),
-    the one with the least fingerprint and row number stays.
+    Links are the pairs of texts whose sets of shingles have a Jaccard similarity of at least `alike`, among those that share a
+    band's key. Where several rows of a component share its least id (or all ids are null), the one with the least row number stays.
     """
     names = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    near = near_duplicates(rows, width, id_col, text_col, ["_row"], budget, bands)
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut_lineage(set_keys(docs, width, bands, id_col, text_col))
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    near = _grouped(rows.select("id", "fp", "_row"), classes, alike_links(docs, rows, width, alike, text_col))
     first = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
-    return rows.join(first.select("_row").hint("merge"), "_row", "left_semi").select(*names)
+    return docs.join(first.select("_row").hint("merge"), "_row", "left_semi").select(*names)

@@ -13,7 +13,7 @@ from clausewright.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE = 5  # words
-BITS, BANDS = 10, 8  # of 64 bits at most so many differ, among texts that share one of eight keys of least hashes
+ALIKE, BANDS = 0.8, 8  # Jaccard similarity of the shingle sets, among texts that share one of eight keys of least hashes
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
-    return simhash.keep_one(docs.select(*COLUMNS), SHINGLE, budget=BITS, bands=BANDS)
+    return simhash.keep_one(docs.select(*COLUMNS), SHINGLE, alike=ALIKE, bands=BANDS)
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

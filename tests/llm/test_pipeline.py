@@ -37,6 +37,56 @@ def test_one_of_each_group_stays(spark, planted):
     assert got == {*range(12), 15, 17, 18, 19}  # 12 copies 3, 13 and 14 are near 0, 16 is empty like 15
 
 
+def test_near_copies_are_the_pairs_alike_in_four_fifths(spark):
+    rng = random.Random(7)
+    texts = []
+    for changed in range(3, 11):  # similarities from 0.71 to 0.90
+        for _ in range(8):
+            base = words(rng, 300).split()
+            other = list(base)
+            for at in rng.sample(range(6, 294, 6), changed):
+                other[at] = "other"
+            texts += [" ".join(base), " ".join(other)]
+    line = words(rng, 12)
+    texts += [" ".join([line] * 40 + [words(rng, 30)]) for _ in range(3)]  # alike in fingerprint only
+    texts += [texts[0], "", None, "one two", "one two"]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+
+    def alike(a, b):
+        return a == b or len(a & b) / len(a | b) >= 0.8
+
+    pairs = [alike(sets[2 * k], sets[2 * k + 1]) for k in range(64)]
+    between = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(64)]
+    assert sum(pairs) == 32 and 0.7 < min(between) < max(between) < 0.91
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    rows = [(k, t, "en", "src", len(t or "")) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()) == sorted(set(root))
+
+
+def test_parts_of_a_group_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 4)
+    rng = random.Random(8)
+    base = words(rng, 300).split()
+    texts = []
+    for k in range(30):
+        other = list(base)
+        other[10 * k % 290] = f"w{k}"
+        texts.append(" ".join(other))
+    df = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()] == [0]
+
+
 def test_banded_links_with_hot_keys(spark, planted, monkeypatch):
     df, texts = planted
     monkeypatch.setattr(simhash, "NODE", 4)
