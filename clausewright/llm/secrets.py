@@ -5,8 +5,8 @@ same pattern the text between them, so running sums of both lengths are the star
 
 A further candidate is a long mixed-case token with digits outside every base span. The values of all spans
 are hashed and counted over the corpus by distinct owners (sources) and distinct repositories (the
-documents' hosts here: source and document). A value held by one owner is live-looking and gives an `own`
-span; a value that several owners hold is a copied example. Base spans stay whatever their count.
+documents' hosts here: source and document). A value held by one owner in at most MAX_REPOS repositories is
+live-looking and gives an `own` span; a value that several owners or more repositories hold is a copied example. Base spans stay whatever their count.
 
 Defined cases: a null text is empty; a null owner counts as one owner of its own; a document repeated under
 the same id and text is scanned once and its rows get the same result; an empty table gives an
@@ -27,6 +27,7 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{24,}"
 HINT = r"(?i)password|passwd|secret|token|api_?key"
 MIN_ASSIGN = 6
+MAX_REPOS = 10  # an owner may keep a live value in a few places
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
@@ -73,7 +74,7 @@ def other_candidates(text: Column, base: Column) -> Column:
     return F.filter(tokens, live)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per input row: id, text_key, base and spans (arrays of start, kind, stop, value), n_copied, n_owned.
 
     Only documents with a candidate go to the shuffles, and only with the hashes of their values.
@@ -83,34 +84,35 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         F.col(id_col).cast("bigint").alias("id"), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text).alias("text_key"), base_spans(text).alias("base"), text.alias("_text")
     )
     docs = docs.withColumn("more", other_candidates(F.col("_text"), F.col("base"))).drop("_text")
-    return _owned(cut_lineage(docs), max_owners)  # else the patterns run once for each use
+    return _owned(cut_lineage(docs), max_owners, max_repos)  # else the patterns run once for each use
 
 
-def _owned(docs: DataFrame, max_owners: int) -> DataFrame:
+def _owned(docs: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     every = F.transform(F.concat("base", "more"), lambda s: F.struct(F.sha2(s["value"], 256).alias("h"), s["kind"].alias("kind")))
     held = docs.select("id", "text_key", "owner", F.explode(every).alias("c")).select("id", "text_key", "owner", "c.h", "c.kind")
     # a value's rows are first reduced to one per owner, so a value in a third of all documents is a few rows
     repos = held.select("h", "owner", "id").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"))
     counts = repos.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    counts = counts.select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("owned"))
     rated = held.select("id", "text_key", "h").distinct().join(counts.hint("merge"), "h")
-    by_doc = rated.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("h", "owners"))).alias("owners"))
-    plain = docs.where((F.size("base") == 0) & (F.size("more") == 0)).withColumn("owners", F.lit(None).cast("map<string,bigint>"))
+    by_doc = rated.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("h", "owned"))).alias("owned"))
+    plain = docs.where((F.size("base") == 0) & (F.size("more") == 0)).withColumn("owned", F.lit(None).cast("map<string,boolean>"))
     listed = docs.where((F.size("base") > 0) | (F.size("more") > 0))
     listed = listed.join(by_doc.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").drop("_id", "_key")
     both = plain.unionByName(listed)
 
-    def owners(s: Column) -> Column:
-        return F.element_at("owners", F.sha2(s["value"], 256))
+    def owned(s: Column) -> Column:
+        return F.element_at("owned", F.sha2(s["value"], 256))
 
-    own = F.filter("more", lambda s: owners(s) <= max_owners)
+    own = F.filter("more", owned)
     rows = F.concat("base", "more")
     return both.select(
         "id",
         "text_key",
         "base",
         F.array_sort(F.concat("base", own)).alias("spans"),
-        F.size(F.filter(rows, lambda s: owners(s) > max_owners)).cast("bigint").alias("n_copied"),
-        F.size(F.filter(rows, lambda s: owners(s) <= max_owners)).cast("bigint").alias("n_owned"),
+        F.size(F.filter(rows, lambda s: ~owned(s))).cast("bigint").alias("n_copied"),
+        F.size(F.filter(rows, owned)).cast("bigint").alias("n_owned"),
     )
 
 

@@ -189,6 +189,17 @@ def test_secrets_odd_texts_and_owners(spark, tmp_path):
     assert "own" not in spans[6] and spans[7].count("own") == 1  # the copied value has two owners
 
 
+def test_secrets_of_many_documents_of_one_owner_are_copied(spark):
+    many, few, most = "Zx9kQw3LmN8vBc5TyR2pHd7Jf0a", "Aq1Sw2De3Fr4Gt5Hy6Ju7Ki8Lo9", "Pl0Mk9Nj8Bh7Vg6Cf5Xd4Zs3Aq2"
+    rows = [(k, f"key {many} end {k}", "src1") for k in range(40)] + [(k, f"key {few}", "src1") for k in (50, 51, 51)] + [(k, f"key {most}", "src2") for k in range(60, 70)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = secrets.scan(df).collect()
+    assert len(got) == len(rows)
+    assert all((len(r.spans), r.n_copied, r.n_owned) == ((0, 1, 0) if r.id < 50 else (1, 0, 1)) for r in got)
+    masked = {r.doc_id: r.text for r in secrets.mask(df).collect()}
+    assert many in masked[7] and few not in masked[50] and most not in masked[60]
+
+
 def plain_fingerprint(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     if not words:
