@@ -11,8 +11,9 @@ strings always meet in one piece and most of the text need not be sorted at all:
 2. Runs whose whole span is equal are one class: in classes of two or more every string repeats. One run of each
    class stands for it from here on.
 3. Where an anchor has several classes (or lies twice within one run, as in periodic text), their spans are brought together by the anchor and suffix-sorted; neighbours
-   with equal prefixes of WIDTH bytes repeat. An anchor with more than HOT classes would be too much for one task: its
-   strings are named one by one by a 128-bit hash instead, and names are counted, combined before the shuffle.
+   with equal prefixes of WIDTH bytes repeat. An anchor with more than HOT classes, or with more than HOT_BYTES bytes in their
+   spans, would be too much for one task: its strings are named one by one by a 128-bit hash instead, and names are
+   counted, combined before the shuffle.
 
 Recursion stops once names stand for more than WIDTH bytes. Spark keeps the distinct texts in a table in the shared
 checkpoint folder, bucketed by their whole key, so later joins move positions and not texts.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ WIDTH = 400
 GRAM = 32
 PIECE = 150_000  # a piece's arrays stay in cache
 HOT = 5000
+HOT_BYTES = 2_000_000  # with PIECE below 3 * 2**20, up to where the names of triples fit 21 bits
 DEPTH = 6  # 3**6 > WIDTH
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -56,6 +59,7 @@ def suffix_array(s: np.ndarray, depth: int = 1) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # one past the end keeps the halves apart
     sample = np.concatenate([ones, twos])
     bits = np.int64(int(t.max()).bit_length())
+    assert 3 * bits <= 63, "a piece is too large for keys of 63 bits"
     key = (t[sample] << (2 * bits)) | (t[sample + 1] << bits) | t[sample + 2]
     order = np.argsort(key)
     ranked = key[order]
@@ -185,23 +189,26 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 )
 
 
+def _of_runs(row: dict, raw: bytes, width: int, hot: bool) -> Iterator[tuple]:
+    for r in row["runs"]:
+        head = (row["k1"], row["k2"], r["begin"], r["anchor"], r["single"])
+        if not hot:
+            yield *head, raw[r["begin"] : r["end"] + width - 1]
+            continue
+        for s in range(r["begin"], r["end"]):
+            d = xxhash.xxh3_128_digest(raw[s : s + width])
+            yield *head[:2], s, *head[3:], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
 def _spans(batches: Iterator[pa.RecordBatch], width: int, hot: bool) -> Iterator[pa.RecordBatch]:
     """The bytes of runs (or, hot, the names of their strings)."""
     names = ["k1", "k2", "begin", "anchor", "single"] + (["w1", "w2"] if hot else ["bytes"])
     for batch in batches:
         for row in batch.to_pylist():
             raw = row["text"].encode()
-            out: list[tuple] = []
-            for r in row["runs"]:
-                head = (row["k1"], row["k2"], r["begin"], r["anchor"], r["single"])
-                if not hot:
-                    out.append((*head, raw[r["begin"] : r["end"] + width - 1]))
-                    continue
-                for s in range(r["begin"], r["end"]):
-                    d = xxhash.xxh3_128_digest(raw[s : s + width])
-                    out.append((*head[:2], s, *head[3:], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-            for at in range(0, len(out), 2000):
-                cols = list(zip(*out[at : at + 2000], strict=True))
+            out = _of_runs(row, raw, width, hot)
+            while part := list(islice(out, 2000)):  # the names of a long run are many times its bytes
+                cols = list(zip(*part, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.bool_()] + ([pa.int64()] * 2 if hot else [pa.binary()])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -277,17 +284,22 @@ def _distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH, hot: int = HOT, piece: int = PIECE) -> DataFrame:
+def _sizes(classes: DataFrame, width: int, hot: int, hot_bytes: int) -> DataFrame:
+    """(anchor, kinds, hot): the number of each anchor's classes, and whether these or their spans' bytes are too many for one piece."""
+    kinds, size = F.count(F.lit(1)), F.sum(F.col("one.end") - F.col("one.begin") + width - 1)
+    return classes.groupBy("anchor").agg(kinds.alias("kinds"), ((kinds > hot) | (size > hot_bytes)).alias("hot"))
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH, hot: int = HOT, piece: int = PIECE, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(k1, k2, n_bytes, n_removed, n_spans, kept) for each distinct text of `df`; `keys_of` gives a row's key."""
     texts = _distinct_texts(df, text_col)
     runs = texts.select("k1", "k2", "text", "copies").mapInArrow(lambda it: _runs(it, width), "k1 bigint, k2 bigint, begin bigint, end bigint, anchor bigint, span bigint, copies bigint, twin boolean")
     runs = kept_table(runs)
     classes = runs.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin"), F.min(F.struct("k1", "k2", "begin", "end")).alias("one"))
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    classes = cut_lineage(classes.join(kinds.hint("merge"), "anchor").where("n > 1 or kinds > 1 or twin"))
+    classes = cut_lineage(classes.join(_sizes(classes, width, hot, hot_bytes).hint("merge"), "anchor").where("n > 1 or kinds > 1 or twin"))
     alike = runs.join(classes.where("n > 1").select("anchor", "span").hint("merge"), ["anchor", "span"]).select("k1", "k2", "begin", "end")
 
-    stand = classes.where("kinds > 1 or (n = 1 and twin)").select("one.*", "anchor", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
+    stand = classes.where("kinds > 1 or (n = 1 and twin)").select("one.*", "anchor", (F.col("n") == 1).alias("single"), "hot")
     wanted = stand.groupBy("k1", "k2", "hot").agg(F.collect_list(F.struct("begin", "end", "anchor", "single")).alias("runs"))
     read = texts.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "runs", "hot")
     head = "k1 bigint, k2 bigint, begin bigint, anchor bigint, single boolean"

@@ -90,6 +90,26 @@ def test_removal_equals_brute_force(spark, more):
     check(spark, odd_rows(), 40, **more)
 
 
+@pytest.mark.parametrize("size", [0, 200, 2000])
+def test_large_anchors_are_named(spark, size):
+    check(spark, odd_rows(), 40, hot_bytes=size)
+
+
+def test_few_long_spans_are_hot(spark):
+    rows = [(1, 7, (0, 1_500_000)), (1, 8, (0, 600_000)), (2, 7, (0, 1_900_000)), *((3, k, (0, 1)) for k in range(5001)), *((4, k, (0, 1)) for k in range(50))]
+    classes = spark.createDataFrame(rows, "anchor bigint, span bigint, one struct<begin:bigint,end:bigint>")
+    got = {r.anchor: (r.kinds, r.hot) for r in sd._sizes(classes, 400, sd.HOT, sd.HOT_BYTES).collect()}
+    assert got == {1: (2, True), 2: (1, False), 3: (5001, True), 4: (50, False)}
+    assert sd.HOT_BYTES + sd.PIECE < 3 << 20
+
+
+def test_suffix_array_refuses_keys_over_63_bits():
+    s = np.arange(1, 1 + (1 << 21))
+    assert sd.suffix_array(s[:-1]).tolist() == list(range((1 << 21) - 1))
+    with pytest.raises(AssertionError):
+        sd.suffix_array(s)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.remove_repeats(df).count() == 0
