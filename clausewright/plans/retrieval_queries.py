@@ -56,6 +56,13 @@ def bm25_zero_fill(t):
     return r.zero_filled(few, t("documents"), t("benchmark"), 20).select("item_id", "doc_id", "score", "rank")
 
 
+@query()
+def bm25_zero_fill_whole(t):
+    """Every hit of the list stays; only the places without one are filled. `bm25_zero_fill` and its SQL keep three hits."""
+    hits = r.bm25(t("documents"), t("benchmark"), 20)
+    return r.zero_filled(hits, t("documents"), t("benchmark"), 20).select("item_id", "doc_id", "score", "rank")
+
+
 def overlap_rank(t, k: int = 10):
     """Documents by token F1 with a question: token equi-join, then counts; no pair without a shared token is built."""
     sets = t("documents").select("doc_id", text.token_set(F.col("text")).alias("s"))
