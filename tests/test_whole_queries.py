@@ -1,5 +1,7 @@
 """Queries that do the whole job where one of the same name with SQL does a part, on small tables."""
 
+import hashlib
+
 import pytest
 
 from clausewright.plans import QUERIES
@@ -21,3 +23,10 @@ def test_zero_fill_keeps_every_hit(spark, tables):
     rows = sorted(QUERIES["bm25_zero_fill_whole"](spark, tables(docs, [(1, "apple")])).collect(), key=lambda r: r["rank"])
     assert [r.doc_id for r in rows] == [8, 17, 26, 35, 44, 53, *[k for k in range(16) if k != 8][:14]]
     assert [r.score > 0 for r in rows] == [True] * 6 + [False] * 14
+
+
+def test_gold_is_found_behind_copies_and_other_languages(spark, tables):
+    docs = [(k, "apple", "de", "s", 1) for k in range(7)] + [(k, "apple apple apple", "en", "s", 1) for k in range(7, 14)]
+    docs += [(20, "apple pie " + "cream " * 300, "fr", "s", 1)] + [(k, f"plum {k}", "en", "s", 1) for k in range(30, 90)]
+    rows = QUERIES["gold_finder_whole"](spark, tables(docs, [(1, "apple pie")])).collect()
+    assert [(r.doc_id, r.overlap, r.accepted) for r in rows] == [(20, 1.0, True)]
