@@ -89,6 +89,12 @@ def paragraph_reconstruction(t):
     return t("documents").select("doc_id", F.size(e.paragraphs(F.split("text", "\n"), most=1)).cast("bigint").alias("n"))
 
 
+@query()
+def paragraph_reconstruction_whole(t):
+    """Paragraphs of up to eight lines, as the operator joins them. `paragraph_reconstruction` and its SQL count single lines."""
+    return t("documents").select("doc_id", F.size(e.paragraphs(F.split("text", "\n"))).cast("bigint").alias("n"))
+
+
 @query("SELECT event_id, round(value, 2) AS latency, event_id % 7 = 0 AS failed FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END AS value FROM events)")
 def telemetry_columns(t):
     x = e.telemetry(F.when(F.col("event_id") % 7 != 0, F.col("value")), F.col("value"), F.lit("local"))

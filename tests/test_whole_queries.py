@@ -30,3 +30,20 @@ def test_gold_is_found_behind_copies_and_other_languages(spark, tables):
     docs += [(20, "apple pie " + "cream " * 300, "fr", "s", 1)] + [(k, f"plum {k}", "en", "s", 1) for k in range(30, 90)]
     rows = QUERIES["gold_finder_whole"](spark, tables(docs, [(1, "apple pie")])).collect()
     assert [(r.doc_id, r.overlap, r.accepted) for r in rows] == [(20, 1.0, True)]
+
+
+def test_paragraphs_join_lines(spark, tables):
+    line = "x" * 30
+    texts = ["\n".join([line] * 3), "\n".join([line, "", line]), "\n".join([line, line, "ARTICLE 4 Leave", line, line, line]), "\n".join([line] * 19), "y" * 81, ""]
+
+    def plain(text):
+        out, held = [], []
+        for x in [*text.split("\n"), ""]:
+            stop = not x.strip() or x.startswith("ARTICLE ")
+            held += [] if stop else [x.strip()]
+            if stop or len(held) == 8:
+                out, held = [*out, " ".join(held)], []
+        return sum(len(p) > 80 for p in out)
+
+    got = {r.doc_id: r.n for r in QUERIES["paragraph_reconstruction_whole"](spark, tables([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)])).collect()}
+    assert got == {k: plain(t) for k, t in enumerate(texts)} == {0: 1, 1: 0, 2: 1, 3: 3, 4: 1, 5: 0}
