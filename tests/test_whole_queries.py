@@ -47,3 +47,10 @@ def test_paragraphs_join_lines(spark, tables):
 
     got = {r.doc_id: r.n for r in QUERIES["paragraph_reconstruction_whole"](spark, tables([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)])).collect()}
     assert got == {k: plain(t) for k, t in enumerate(texts)} == {0: 1, 1: 0, 2: 1, 3: 3, 4: 1, 5: 0}
+
+
+def test_merged_bodies_hold_whole_texts(spark, tables):
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate([5, 60, 12, 45, 29, 30, 4])]
+    rows = QUERIES["clause_merge_short_whole"](spark, tables([(k, t, "en", "s", 3) for k, t in enumerate(texts)])).collect()
+    want = ["\n".join(texts[a:b]) for a, b in ((0, 2), (2, 4), (4, 7))]
+    assert [r.body for r in sorted(rows, key=lambda r: r.gid)] == [hashlib.md5(w.encode()).hexdigest() for w in want]
