@@ -59,8 +59,7 @@ def read_wav(media: bytes) -> bytes:
 def peak_pairs(samples: bytes) -> tuple[int, np.ndarray]:
     """Frames of the transform and the time-coded peak pairs."""
     x = np.frombuffer(samples, np.uint8).astype(np.float64) - 128.0
-    if len(x) < N_FFT:
-        x = np.pad(x, (0, N_FFT - len(x)))
+    x = np.pad(x, (0, N_FFT - len(x) if len(x) < N_FFT else -(len(x) - N_FFT) % HOP))  # silence, so that the last frame covers the end
     frames = np.lib.stride_tricks.sliding_window_view(x, N_FFT)[::HOP]
     frames = frames - frames.mean(axis=1, keepdims=True)
     power = np.rint(np.abs(np.fft.rfft(frames * _WINDOW, axis=1)[:, 1:]) * 8.0)

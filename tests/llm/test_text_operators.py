@@ -148,6 +148,14 @@ def test_peak_pairs_follow_a_tone():
     assert n == 15 and all((p >> 16) & 0xFFFF in (38, 39, 40) for p in pairs.tolist())
 
 
+@pytest.mark.parametrize("size", [512, 576, 640, 704, 768, 1344])
+def test_last_samples_are_in_a_frame(size):
+    quiet, at = np.full(size - 64, 128, np.uint8), np.arange(64)
+    a, b = (np.append(quiet, (128 + 100 * np.sin(2 * np.pi * at / period)).astype(np.uint8)) for period in (8, 16))
+    (n, x), (m, y) = media.peak_pairs(a.tobytes()), media.peak_pairs(b.tobytes())
+    assert n == m == 1 + -(-(size - 512) // 256) and x.tolist() != y.tolist()
+
+
 def scan_plain(text):
     kinds = (
         ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
