@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +30,22 @@ def texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
+def unused(columns: list[str], n: int) -> list[str]:
+    """n names that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    free = (name for k in range(len(taken) + n) if (name := f"_x{k}") not in taken)
+    return list(islice(free, n))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one under the warehouse only where it names none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    """The folder that the cluster names in spark.checkpoint.dir, or the context's own; a local session that has neither uses its warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named or own.isDefined():
+        return named or own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,18 +56,45 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: list[tuple[str, str | None]] = []
+
+
+def to_discard(path: str, name: str | None = None) -> None:
+    """Note a folder, and the table over it, that `discard` may delete."""
+    _KEPT.append((path, name))
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that operators have kept in the shared folder; for when their results have been written or read."""
+    while _KEPT:
+        path, name = _KEPT.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def kept_table(df: DataFrame) -> DataFrame:
     """Like `cut_lineage`, as a compressed columnar table in the same folder: for what is large."""
     path = f"{shared_folder(df.sparkSession)}/table_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    to_discard(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str | list[str], spread: str, salts: int = SALTS) -> DataFrame:
     """Inner merge join in which one key may hold a large share of `large`; `small` has one row a key.
 
-    The rows of a key in `large` go to SALTS tasks by a hash of `spread`; `small` is repeated for each.
+    The rows of a key in `large` go to `salts` tasks by a hash of `spread`; `small` is repeated for each.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return large.withColumn("_salt", salt).join(each.hint("merge"), [key, "_salt"]).drop("_salt")
+    (name,) = unused([*large.columns, *small.columns], 1)
+    keys = [key] if isinstance(key, str) else key
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    each = small.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn(name, salt).join(each.hint("merge"), [*keys, name]).drop(name)

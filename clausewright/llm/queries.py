@@ -52,7 +52,8 @@ def _scored(s: DataFrame) -> DataFrame:
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = suffix_dedup.remove_repeats(docs).select("k1", "k2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup.remove_repeats(docs, passages=suffix_dedup.PASSAGE)
+    found = found.select("k1", "k2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
     return docs.select("doc_id", *suffix_dedup.keys_of(text_of("text"))).join(found.hint("merge"), ["k1", "k2"]).drop("k1", "k2")
 
 

@@ -33,11 +33,10 @@ def test_suffix_array():
     for n in [*range(0, 40), 200, 401]:
         for letters in (1, 2, 5, 250):
             s = rng.integers(1, letters + 1, n)
-            assert sd.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist()) or (letters == 1 and n > 3**sd.DEPTH)
+            assert sd.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist()) or (letters == 1 and n > 3**6)
 
 
-def test_deep_recursion_keeps_equal_prefixes_together(monkeypatch):
-    monkeypatch.setattr(sd, "DEPTH", 3)  # names of 27 symbols
+def test_shallow_recursion_keeps_equal_prefixes_together():
     rng = np.random.default_rng(2)
     block = rng.integers(97, 100, 60, dtype=np.uint8).tobytes()
     spans = [block * 4, block[5:] + b"x" * 40, b"ab" * 70, rng.integers(97, 99, 300, dtype=np.uint8).tobytes()]
@@ -54,12 +53,48 @@ def test_anchor_runs_cover_and_agree():
     b = shared + rng.integers(97, 123, 500, dtype=np.uint8).tobytes()
     of = {}
     for name, raw in (("a", a), ("b", b)):
-        edges, anchors, _ = sd.anchor_runs(raw, 400)
+        edges, anchors, places, size = sd.anchor_runs(sd.laid_out(raw, sd.BYTES)[1], 400, 32)
+        assert size == 32 and (places >= edges[1:] - 1).all() and (places + size <= edges[:-1] + 400).all()
         assert edges[0] == 0 and edges[-1] == len(raw) - 399 and (np.diff(edges) > 0).all()
         of[name] = np.repeat(anchors, np.diff(edges))
     assert (of["a"][700:1201] == of["b"][:501]).all()
 
 
+def test_texts_side_by_side_have_the_runs_of_each():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 100, n, dtype=np.uint8).tobytes() for n in (40, 41, 500)] + [b"ab" * 60, b"z" * 90]
+    symbols = [sd.laid_out(t, sd.BYTES)[1] for t in texts]
+    text, begin, end, anchor, twin = sd.runs_of(np.concatenate(symbols), np.array([len(t) for t in texts]), 40, 8)
+    for k, (t, s) in enumerate(zip(texts, symbols, strict=True)):
+        edges, anchors, places, size = sd.anchor_runs(s, 40, 8)
+        mine = text == k
+        assert begin[mine].tolist() == edges[:-1].tolist() and end[mine].tolist() == edges[1:].tolist() and anchor[mine].tolist() == anchors.tolist()
+        grams = Counter(t[i : i + size] for i in range(len(t) - size + 1))
+        assert twin[mine].tolist() == [grams[t[p : p + size]] > 1 for p in places.tolist()]
+
+
+def plain_words(texts, width, split=str.split):
+    """What is left of each text without its words under repeated strings of `width` words, and the removed bytes."""
+    words = [split(t) for t in texts]
+    count = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    out = []
+    for t, w in zip(texts, words, strict=True):
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - width + 1):
+            if count[tuple(w[i : i + width])] > 1:
+                gone[i : i + width] = True
+        at, left = 0, t[: len(t) - len(t.lstrip())]
+        starts = []
+        for x in w:
+            at = t.index(x, at)
+            starts.append(at)
+            at += len(x)
+        starts.append(len(t))
+        left = t[: starts[0]] + "".join(t[starts[k] : starts[k + 1]] for k in range(len(w)) if not gone[k])
+        out.append(left)
+    return out
+
+
 def check(spark, rows, width, **more):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_bytes string, kept string").repartition(3)
     text = sd.text_of("text")
@@ -92,15 +127,15 @@ def test_removal_equals_brute_force(spark, more):
 
 @pytest.mark.parametrize("size", [0, 200, 2000])
 def test_large_anchors_are_named(spark, size):
-    check(spark, odd_rows(), 40, hot_bytes=size)
+    check(spark, odd_rows(), 40, most=size)
 
 
 def test_few_long_spans_are_hot(spark):
     rows = [(1, 7, (0, 1_500_000)), (1, 8, (0, 600_000)), (2, 7, (0, 1_900_000)), *((3, k, (0, 1)) for k in range(5001)), *((4, k, (0, 1)) for k in range(50))]
-    classes = spark.createDataFrame(rows, "anchor bigint, span bigint, one struct<begin:bigint,end:bigint>")
-    got = {r.anchor: (r.kinds, r.hot) for r in sd._sizes(classes, 400, sd.HOT, sd.HOT_BYTES).collect()}
+    classes = spark.createDataFrame([(*r, False) for r in rows], "anchor bigint, span bigint, one struct<begin:bigint,end:bigint>, twin boolean")
+    got = {r.anchor: (r.kinds, r.hot) for r in sd._sizes(classes, 400, sd.HOT, sd.BYTES.most).collect()}
     assert got == {1: (2, True), 2: (1, False), 3: (5001, True), 4: (50, False)}
-    assert sd.HOT_BYTES + sd.PIECE < 3 << 20
+    assert sd.BYTES.most + sd.BYTES.piece < 3 << 20
 
 
 def test_suffix_array_refuses_keys_over_63_bits():
@@ -110,6 +145,85 @@ def test_suffix_array_refuses_keys_over_63_bits():
         sd.suffix_array(s)
 
 
+def word_rows():
+    rng = np.random.default_rng(6)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 60, n)]
+
+    def spaced(words):
+        return "".join(w + str(rng.choice([" ", "  ", "\n", " \t"])) for w in words)
+
+    out, planted = [], []
+    for n in (51, 60, 80):
+        for _ in range(6):
+            passage = prose(n)
+            for _ in range(int(rng.integers(2, 5))):
+                planted.append(len(out))
+                out.append(spaced(prose(int(rng.integers(0, 90))) + passage + prose(int(rng.integers(0, 90)))))
+    for _ in range(6):  # passages of 50 words stay
+        passage = prose(50)
+        out += [spaced([f"a{k}", *passage, f"b{k}"]) for k in range(2)]
+    edited = prose(160)
+    for k in range(20):
+        other = list(edited)
+        other[int(rng.integers(0, 160))] = f"edit{k}"
+        out.append(spaced(other))
+    out += [spaced(prose(200)) for _ in range(15)]
+    out += ["", " ", "one two", "ja " * 130, " ".join(["x", "y"] * 80), out[0], "word " * 50, "é" * 3000]
+    return out, planted
+
+
+@pytest.mark.parametrize("more", [{}, {"piece": 60}, {"hot": 2}, {"most": 100}])
+def test_word_passages_equal_brute_force(spark, more):
+    texts, planted = word_rows()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    found = sd.remove_repeats(df, width=sd.PASSAGE, unit=sd.WORDS, **more)
+    got = {r.doc_id: bytes(r.kept).decode() for r in df.select("doc_id", *sd.keys_of(sd.text_of("text"))).join(found, ["k1", "k2"]).collect()}
+    want = plain_words(texts, sd.PASSAGE)
+    assert got == dict(enumerate(want))
+    assert all(len(want[k]) < len(texts[k]) for k in planted)
+
+
+def test_characters_of_unspaced_scripts_are_words(spark):
+    rng = np.random.default_rng(8)
+    passage = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 500, 55))
+    texts = ["a b " + passage + " c", "\u65e5" + passage + "d", "e" * 500, "e" * 500 + "f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in sd.without_repeats(df, width=51, unit=sd.WORDS).collect()}
+    assert got == {0: "a b c", 1: "\u65e5d", 2: texts[2], 3: texts[3]}
+
+
+def test_passages_are_counted_beside(spark):
+    texts, planted = word_rows()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = sd.remove_repeats(df, passages=sd.PASSAGE)
+    got = {r.doc_id: (r.n_passages, r.passage_bytes) for r in df.select("doc_id", *sd.keys_of(sd.text_of("text"))).join(found, ["k1", "k2"]).collect()}
+    want = [len(t.encode()) - len(w.encode()) for t, w in zip(texts, plain_words(texts, sd.PASSAGE), strict=True)]
+    assert [got[k][1] for k in range(len(texts))] == want
+    assert all((got[k][0] > 0) == (want[k] > 0) for k in range(len(texts))) and all(got[k][0] for k in planted)
+
+
+def test_clashing_names_and_discard(spark):
+    from pathlib import Path
+
+    from clausewright.llm.common import discard, shared_folder
+
+    rows = [(1, "x" * 500, 1, 2, "a", "b"), (2, "x" * 499, 3, 4, "c", "d"), (3, None, 5, 6, "e", "f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, k1 int, _X0 int, kept string, _kept string")
+    got = sd.without_repeats(df).collect()
+    assert sorted((r.doc_id, r.text, r.k1, r._X0, r.kept, r._kept) for r in got) == [(1, "", 1, 2, "a", "b"), (2, "", 3, 4, "c", "d"), (3, "", 5, 6, "e", "f")]
+    discard(spark)
+    assert not [p for p in Path(shared_folder(spark).removeprefix("file:")).glob("*_*") if p.name.startswith(("distinct_texts_", "table_"))]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("distinct_texts_")]
+
+
+def test_neighbours_are_compared_by_their_bytes():
+    s = np.array([1, 2, 3, 4, 1, 2, 3, 5, 9, 2, 3, 4])
+    i, j = np.array([0, 1, 1, 2, 4]), np.array([4, 5, 9, 10, 8])
+    assert sd._verified(s, i, j, 2).tolist() == [True, True, True, True, False]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.remove_repeats(df).count() == 0
