@@ -32,8 +32,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that repeat; what is left of a cut character goes too."""
-    return _with_text(suffix_dedup.without_repeats(docs.select(*COLUMNS)))
+    """Texts without the passages of over 50 words that repeat."""
+    return _with_text(suffix_dedup.without_repeats(docs.select(*COLUMNS), width=suffix_dedup.PASSAGE, unit=suffix_dedup.WORDS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
