@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import text_of
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`."""
@@ -20,3 +22,9 @@ def sample(labels: DataFrame, label_col: str, folds: int, held: int, bound: int,
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(id_col, folds) != held))
     rows = rows.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     return rows.orderBy(F.xxhash64("id"), "id").limit(bound)
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> list[Row]:
+    """(id, text, label) by id, one row for each id of `chosen` that `docs` has; of several texts under one id the least."""
+    found = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+    return found.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("id").collect()

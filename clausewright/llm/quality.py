@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, utf8
-from .labelled import fold, sample
+from .labelled import fold, labelled_texts, sample
 
 BOUND = 8000
 BUCKETS = 1 << 14
@@ -120,21 +120,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, se
     return Machine(float(b), w, v)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [features(t) for t in utf8(batch.column(1))]
-        index = pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary())
-        value = pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), index, value, batch.column(2)], names=["id", "index", "value", "label"])
-
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND) -> Machine | None:
-    """Fit on at most `bound` labelled texts outside the held-out fold."""
+    """Fit on at most `bound` labelled texts outside the held-out fold; of several texts under one id on the least."""
     chosen = sample(labels, label_col, FOLDS, HELD, bound, id_col)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(_featured, "id bigint, index binary, value binary, label int").collect()
-    seen = {r.id: r for r in rows}  # a document repeated under one id counts once
-    return fit([(np.frombuffer(r["index"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4"), r.label) for _, r in sorted(seen.items())])
+    return fit([(*features(r.text.encode()), r.label) for r in labelled_texts(docs, chosen, id_col, text_col)])
 
 
 def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

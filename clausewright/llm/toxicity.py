@@ -5,9 +5,11 @@ words after the last and the final one flush with the end, cover the whole text;
 text has the score of its worst window. Words, not texts, pay for the input layer: a batch's distinct words
 are projected once for both directions.
 
-It is fitted on the driver on at most BOUND labelled texts, of each at most PER_TEXT windows spread evenly over it
-(training only; scoring takes all windows). First all windows of a text carry its label; then only the
-worst one does. Last the threshold, chosen on texts kept aside, is moved to 0.5.
+It is fitted on the driver on whole texts of at most BOUND labelled rows. A text's label says that some window is toxic, not which.
+So what the labels say about a word (`evidence`: nothing, unless chance would hardly give it) is added to the first coordinate
+of its vector, the windows with the most of it are the first to be learned from, and later the network itself
+chooses the worst window of every text, beside a window of each clean text by lot. Last the threshold, chosen on texts
+kept aside, is moved to 0.5.
 
 Defined cases: null and empty texts are scored as one empty word; without labelled rows every score is 0; a
 null id stays null and counts as "" for the fold; repeated rows stay; an empty table gives an empty table.
@@ -25,19 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, texts
-from .labelled import fold, sample
+from .labelled import fold, labelled_texts, sample
 
 BOUND = 6000
-PER_TEXT = 5
 WINDOW, STRIDE = 64, 48
 FOLDS, HELD = 5, 0
-WORDS, GRAMS = 1 << 12, 1 << 13
+WORDS, GRAMS = 1 << 14, 1 << 13
 DIM, HIDDEN, ATTEND = 16, 12, 12
-EPOCHS, ALL_WINDOWS, BATCH, RATE = 9, 4, 128, 0.01
+EPOCHS, BATCH, RATE = 8, 128, 0.01
+TABLES = 0.3  # of the rate, for word and trigram vectors: they must not learn single texts by heart
 SLICE = 2048
 CHECK = 6
-STEPS = 400
+STEPS = 300
+CHANCE = 4.0  # in standard deviations
 
+_LETTERS = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -61,7 +65,7 @@ class Vocabulary:
         return np.array([ids.setdefault(w, len(ids)) for w in words], np.int32)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word rows, trigram rows, and where each word's trigrams begin."""
+        """Words as 32-bit keys, trigram rows, and where each word's trigrams begin."""
         words = list(self.ids)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
         data = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint32)
@@ -69,13 +73,19 @@ class Vocabulary:
         starts = ends - sizes
         grams = np.full(len(data), 0, np.uint32)
         grams[:-2] = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA6B) + data[2:] * np.uint32(0xC2B2AE35)
-        whole = np.add.reduceat(data * (np.arange(len(data), dtype=np.uint32) - np.repeat(starts, sizes).astype(np.uint32) + np.uint32(1)) * np.uint32(0x27D4EB2F), starts)
+        power = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B1, np.uint32))
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        whole = np.add.reduceat(_LETTERS[data] * power[place], starts)
+        whole = (whole ^ (whole >> np.uint32(16))) * np.uint32(0x27D4EB2F)
         keep = np.ones(len(data), bool)
         keep[ends - 1] = False
         keep[ends - 2] = sizes == 2  # the empty word keeps one
         first = starts - np.concatenate([[0], np.cumsum(sizes - np.maximum(sizes - 2, 1))[:-1]])
-        mix = lambda x: (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(8)
-        return (mix(whole) % np.uint32(WORDS)).astype(np.int64), (mix(grams[keep]) % np.uint32(GRAMS)).astype(np.int64), first
+        return whole, _row(grams[keep], GRAMS), first
+
+
+def _row(x: np.ndarray, rows: int) -> np.ndarray:
+    return (((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(8)) % np.uint32(rows)).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,6 +95,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
+    known: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1, np.uint32), np.zeros(1, np.float32)))  # sorted keys, evidence
     shift: float = 0.0
     moments: dict = field(default_factory=dict)
 
@@ -97,14 +108,22 @@ class Network:
         return Network(p)
 
     def vectors(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        word, gram, first = rows
+        key, gram, first = rows
         sizes = np.diff(np.append(first, len(gram)))
-        mean = np.empty((len(word), DIM), np.float32)
-        for at in range(0, len(word), 1 << 15):  # trigram vectors of some words at a time
-            to = min(len(word), at + (1 << 15))
-            low, high = first[at], first[to] if to < len(word) else len(gram)
+        mean = np.empty((len(key), DIM), np.float32)
+        for at in range(0, len(key), 1 << 15):  # trigram vectors of some words at a time
+            to = min(len(key), at + (1 << 15))
+            low, high = first[at], first[to] if to < len(key) else len(gram)
             mean[at:to] = np.add.reduceat(self.p["gram"][gram[low:high]], first[at:to] - low, axis=0)
-        return self.p["word"][word] + mean / sizes[:, None].astype(np.float32), sizes
+        x = self.p["word"][_row(key, WORDS)] + mean / sizes[:, None].astype(np.float32)
+        x[:, 0] += self.said(key)
+        return x, sizes
+
+    def said(self, key: np.ndarray) -> np.ndarray:
+        """The evidence of words."""
+        keys, values = self.known
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], np.float32(0))
 
     def run(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Window logits. ids: time x window rows of x; mask: the same shape, 0 beyond a window's end."""
@@ -177,13 +196,16 @@ class Network:
             dx += dxp @ p[f"in_{d}"].T
         return g, dx
 
-    def step(self, g: dict[str, np.ndarray], t: int, rate: float) -> None:
-        """Adam."""
+    def step(self, g: dict[str, np.ndarray], rows: dict[str, np.ndarray], t: int, rate: float) -> None:
+        """Adam; of the tables of `rows` only these rows have gradients and move."""
         for name, d in g.items():
-            m, v = self.moments.setdefault(name, (np.zeros_like(d), np.zeros_like(d)))
-            m += 0.1 * (d - m)
-            v += 0.001 * (d * d - v)
-            self.p[name] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            p, at = self.p[name], rows.get(name, slice(None))
+            if name not in self.moments:
+                self.moments[name] = np.zeros_like(p), np.zeros_like(p)
+            m, v = self.moments[name]
+            m[at] = some_m = m[at] + 0.1 * (d - m[at])
+            v[at] = some_v = v[at] + 0.001 * (d * d - v[at])
+            p[at] -= (rate * TABLES if name in rows else rate) * (some_m / (1 - 0.9**t)) / (np.sqrt(some_v / (1 - 0.999**t)) + 1e-8)
 
 
 def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
@@ -218,93 +240,149 @@ def score_texts(net: Network, batch: list[str]) -> np.ndarray:
     return out - net.shift
 
 
-def fit(rows: list[tuple[list[list[bytes]], int]], seed: int = 11, epochs: int = EPOCHS) -> Network | None:
-    """rows: the windows (lists of words) and the label of each text."""
+class Corpus:
+    """Texts as ids of their words, and their windows one after the other."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        vocabulary = Vocabulary()
+        self.texts = [vocabulary(words_of(t)) for t, _ in rows]
+        self.labels = np.array([y for _, y in rows])
+        self.key, self.gram, self.first = vocabulary.rows()
+        self.sizes = np.diff(np.append(self.first, len(self.gram)))
+        starts = [windows_of(len(t)) for t in self.texts]
+        self.text = np.repeat(np.arange(len(rows)), [len(s) for s in starts])
+        self.start = np.array([s for each in starts for s in each])
+        self.begin = np.append(0, np.cumsum([len(s) for s in starts]))
+
+    def window(self, k: int) -> np.ndarray:
+        return self.texts[self.text[k]][self.start[k] : self.start[k] + WINDOW]
+
+    def rows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `Vocabulary.rows`, for some of the words."""
+        n = self.sizes[words]
+        first = np.cumsum(n) - n
+        return self.key[words], self.gram[np.arange(n.sum()) + np.repeat(self.first[words] - first, n)], first
+
+    def batch(self, windows: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray | None]:
+        """Rows of the distinct words, and windows laid out as indexes of these."""
+        ids, mask = _laid_out([self.window(k) for k in windows.tolist()])
+        words, places = np.unique(ids, return_inverse=True)
+        return self.rows_of(words), places.reshape(ids.shape).astype(np.int32), mask
+
+    def worst(self, score: np.ndarray) -> np.ndarray:
+        """The window with the highest score of every text; the first of several."""
+        order = np.lexsort((-np.arange(len(score)), score, self.text))
+        return order[self.begin[1:] - 1]
+
+
+def _weights(c: Corpus, of: np.ndarray) -> np.ndarray:
+    """One over the number of texts alike, by the least hashes of word pairs: a group of copies speaks for its words once."""
+    least = np.empty((len(of), 4), np.uint64)
+    for n, k in enumerate(of.tolist()):
+        h = c.key[c.texts[k]].astype(np.uint64)
+        h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h) * np.uint64(0xBF58476D1CE4E5B9)
+        least[n] = [((h ^ (h >> np.uint64(29))) * np.uint64(m)).min() for m in (0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    out = np.zeros(len(of))
+    for column in least.T:
+        _, which, count = np.unique(column, return_inverse=True, return_counts=True)
+        out += 1 / count[which] / least.shape[1]
+    return out
+
+
+def evidence(c: Corpus, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, as sorted keys, and what the labels of the texts `of` say about them: the signed root of the likelihood ratio beyond CHANCE."""
+    weight = _weights(c, of)
+    counts = np.zeros((2, len(c.key)))
+    for k, w in zip(of.tolist(), weight, strict=True):
+        counts[c.labels[k], np.unique(c.texts[k])] += w
+    n, p = counts.sum(axis=0), np.average(c.labels[of], weights=weight)
+    if not 0 < p < 1:
+        return np.zeros(1, np.uint32), np.zeros(1, np.float32)
+    part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(n, 1e-9) / q), 0)
+    root = np.sqrt(np.maximum(0, 2 * (part(counts[1], p) + part(counts[0], 1 - p)))) - CHANCE
+    some = np.append(0, np.flatnonzero(root > 0))
+    key, first = np.unique(c.key[some], return_index=True)
+    value = np.sign(counts[1] - n * p)[some] * np.clip(root[some], 0, 4)
+    return key, value[first].astype(np.float32)
+
+
+def fit(rows: list[tuple[str, int]], seed: int = 11, epochs: int = EPOCHS) -> Network | None:
+    """rows: whole texts and their labels."""
     if not rows:
         return None
     rng = np.random.default_rng(seed)
     net, t = Network.fresh(rng), 0
-    aside = rows[::CHECK] if len(rows) >= 50 * CHECK else rows  # unseen texts for the threshold, where there are enough
-    rows = [r for k, r in enumerate(rows) if k % CHECK] if aside is not rows else rows
-    labels = np.array([y for _, y in rows])
-    boost = float(np.clip((labels == 0).sum() / max(1, (labels == 1).sum()), 1, 3))
-    worst: np.ndarray | None = None
-    more = max(1, round(STEPS * BATCH / (epochs * sum(len(ws) for ws, _ in rows))))  # few texts are gone over more often
-    epochs, early = epochs * more, ALL_WINDOWS * more
+    c = Corpus(rows)
+    every = np.arange(len(rows))
+    aside = every[::CHECK] if len(rows) >= 50 * CHECK else every  # unseen texts for the threshold, where there are enough
+    learned = np.setdiff1d(every, aside) if len(aside) < len(every) else every
+    clean = learned[c.labels[learned] == 0]
+    boost = float(np.clip(len(clean) / max(1, len(learned) - len(clean)), 1, 3))
+    net.known = evidence(c, learned)
+    said = np.maximum(net.said(c.key), 0)
+    worst = c.worst(np.array([said[c.window(k)].sum() for k in range(len(c.text))]))
+    epochs *= max(1, round(STEPS * BATCH / (epochs * (len(learned) + len(clean)))))  # few texts are gone over more often
+    turns = set(np.linspace(0, epochs, 5).astype(int)[1:-1].tolist())  # when the network chooses the windows anew
     for epoch in range(epochs):
-        if epoch >= early:
-            worst = _worst(net, rows)
-        items = [(w, y) for k, (ws, y) in enumerate(rows) for j, w in enumerate(ws) if worst is None or j == worst[k]]
+        if epoch in turns:
+            worst = c.worst(_logits(net, c, np.arange(len(c.text))))
+        lot = c.begin[clean] + rng.integers(0, np.diff(c.begin)[clean])
+        items = np.concatenate([worst[learned], lot])
         order = rng.permutation(len(items))
         rate = RATE * (1 - epoch / (epochs + 1))
         for at in range(0, len(items), BATCH):
-            part = sorted((items[k] for k in order[at : at + BATCH]), key=lambda i: len(i[0]))
-            vocabulary = Vocabulary()
-            ids, mask = _laid_out([vocabulary(w) for w, _ in part])
+            part = items[order[at : at + BATCH]]
+            (key, gram, first), ids, mask = c.batch(part)
             mask = np.ones(ids.shape, np.float32) if mask is None else mask
-            word, gram, first = vocabulary.rows()
-            x, sizes = net.vectors((word, gram, first))
+            x, sizes = net.vectors((key, gram, first))
             z, kept = net.run(x, ids, mask, keep=True)
-            y = np.array([y for _, y in part], np.float32)
+            y = c.labels[c.text[part]].astype(np.float32)
             dz = ((_sigmoid(z) - y) * np.where(y > 0, boost, 1) / len(part)).astype(np.float32)
             g, dx = net.grads(x, ids, mask, kept, dz)
-            g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], word, dx)
-            np.add.at(g["gram"], gram, np.repeat(dx / sizes[:, None], sizes, axis=0))
+            touched = {}
+            for name, at_rows, d in (("word", _row(key, WORDS), dx), ("gram", gram, np.repeat(dx / sizes[:, None].astype(np.float32), sizes, axis=0))):
+                touched[name], which = np.unique(at_rows, return_inverse=True)
+                g[name] = np.zeros((len(touched[name]), DIM), np.float32)
+                np.add.at(g[name], which, d)
             t += 1
-            net.step(g, t, rate)
-    net.shift = _threshold(np.array([z.max() for z in _logits(net, aside)]), np.array([y for _, y in aside]))
+            net.step(g, touched, t, rate)
+    mine = np.flatnonzero(np.isin(c.text, aside))
+    z = np.full(len(rows), -np.inf)
+    np.maximum.at(z, c.text[mine], _logits(net, c, mine))
+    net.shift = _threshold(z[aside], c.labels[aside])
     net.moments = {}
     return net
 
 
-def _logits(net: Network, rows: list[tuple[list[list[bytes]], int]]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for at in range(0, len(rows), 400):
-        vocabulary = Vocabulary()
-        part = [[vocabulary(w) for w in ws] for ws, _ in rows[at : at + 400]]
-        x, _ = net.vectors(vocabulary.rows())
-        flat = [w for ws in part for w in ws]
-        z = np.concatenate([net.run(x, *_laid_out(flat[k : k + 512]))[0] for k in range(0, len(flat), 512)])
-        out += np.split(z, np.cumsum([len(ws) for ws in part])[:-1])
+def _logits(net: Network, c: Corpus, windows: np.ndarray) -> np.ndarray:
+    """Logits of some windows, those of one length together."""
+    size = np.minimum(np.array([len(t) for t in c.texts])[c.text[windows]], WINDOW)
+    order = np.argsort(size, kind="stable")
+    out = np.empty(len(windows), np.float32)
+    for at in range(0, len(order), SLICE):
+        part = order[at : at + SLICE]
+        rows, ids, mask = c.batch(windows[part])
+        out[part] = net.run(net.vectors(rows)[0], ids, mask)[0]
     return out
 
 
-def _worst(net: Network, rows: list[tuple[list[list[bytes]], int]]) -> np.ndarray:
-    return np.array([int(z.argmax()) for z in _logits(net, rows)])
-
-
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the cut with the fewest errors; 0 where a class is missing."""
+    """The middle of the cut with the fewest errors, of several the nearest to 0; 0 where a class is missing."""
     if y.min() == y.max():
         return 0.0
     order = np.argsort(z)
     z, y = z[order], y[order]
     errors = np.concatenate([[(y == 0).sum()], (y == 0).sum() + np.cumsum(2 * y - 1)])  # texts before the cut pass
     best = np.flatnonzero(errors == errors.min())
-    k = int(best[len(best) // 2])
     edge = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    return float((edge[k] + edge[k + 1]) / 2)
-
-
-def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in texts(batch.column(1)):
-            words = words_of(text)
-            starts = windows_of(len(words))
-            chosen = sorted({starts[round(k * (len(starts) - 1) / max(1, PER_TEXT - 1))] for k in range(PER_TEXT)})
-            out.append([b" ".join(words[s : s + WINDOW]) for s in chosen])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary())), batch.column(2)], names=["id", "windows", "label"])
+    middle = (edge[best] + edge[best + 1]) / 2
+    return float(middle[np.abs(middle).argmin()])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND) -> Network | None:
-    """Fit on at most `bound` labelled texts outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND, seed: int = 11) -> Network | None:
+    """Fit on the whole texts of at most `bound` labelled rows outside the held-out fold; of several texts under one id on the least."""
     chosen = sample(labels, label_col, FOLDS, HELD, bound, id_col)
-    found = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    rows = found.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(_windowed, "id bigint, windows array<binary>, label int").collect()
-    seen = {r.id: r for r in rows}
-    return fit([([bytes(w).split(b" ") for w in r.windows], r.label) for _, r in sorted(seen.items())])
+    return fit([(r.text, r.label) for r in labelled_texts(docs, chosen, id_col, text_col)], seed)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
