@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of
+from .common import cut_lineage, salted_join, text_of, unused
 
 KINDS = ("assign", "access", "hex", "own")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,7 +94,7 @@ def _owned(docs: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     repos = held.select("h", "owner", "id").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"))
     counts = repos.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     counts = counts.select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("owned"))
-    rated = held.select("id", "text_key", "h").distinct().join(counts.hint("merge"), "h")
+    rated = salted_join(held.select("id", "text_key", "h").distinct(), counts, "h", "id")  # a value may lie in a third of all documents
     by_doc = rated.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("h", "owned"))).alias("owned"))
     plain = docs.where((F.size("base") == 0) & (F.size("more") == 0)).withColumn("owned", F.lit(None).cast("map<string,boolean>"))
     listed = docs.where((F.size("base") > 0) | (F.size("more") > 0))
@@ -140,8 +140,9 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """`docs` with every span of `scan` masked."""
-    found = scan(docs, id_col, text_col, owner_col).where(F.size("spans") > 0).groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
-    rows = docs.withColumn("_text_key", F.xxhash64(text_of(text_col)))
-    rows = rows.join(found.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    text = F.when(F.col("_spans").isNull(), text_of(text_col)).otherwise(masked(text_of(text_col), F.col("_spans")))
+    i, key, spans, mine = unused(docs.columns, 4)
+    found = scan(docs, id_col, text_col, owner_col).where(F.size("spans") > 0).groupBy(F.col("id").alias(i), F.col("text_key").alias(key)).agg(F.first("spans").alias(spans))
+    rows = docs.withColumn(mine, F.xxhash64(text_of(text_col)))
+    rows = rows.join(found.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col(i)) & (F.col(mine) == F.col(key)), "left")
+    text = F.when(F.col(spans).isNull(), text_of(text_col)).otherwise(masked(text_of(text_col), F.col(spans)))
     return rows.withColumn(text_col, text).select(*docs.columns)

@@ -1,11 +1,14 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by a binary-trie self-join.
 
-The distinct fingerprints, sorted, are a binary trie: a node is a run that shares its upper bits. The join goes
+The distinct fingerprints of a group, sorted, are a binary trie: a node is a run that shares its upper bits. The join goes
 down two nodes at a time, adds up the bits in which their prefixes differ and drops a pair of nodes when the
-sum passes the budget; small pairs are compared outright. It is distributed by cutting the sorted order into at
-most MAX_NODES equally filled nodes; a pair of nodes whose prefixes already differ too much is never sent.
-A task hands on a spanning forest of the links it found, not the links, and the forests are joined
-by distributed star steps, so no group of copies is expanded into pairs.
+sum passes the budget; small pairs are compared outright.
+
+It is distributed by the pigeonhole principle: of budget + 1 blocks of the bits, two fingerprints within the budget share one
+whole. So each fingerprint goes to one group for each block, by the block's value, and the join starts from every group with
+itself. A group of more than NODE fingerprints is dealt again by blocks of the bits it does not share, as often as needed: tasks
+stay of one size, and only the number of groups grows with the data. A task hands on a spanning forest of
+the links it found, not the links, and the forests are joined by distributed star steps, so no group of copies is expanded into pairs.
 
 `keep_one` links by the texts themselves: keys of least hashes select candidates, and the exact Jaccard similarity of
 their shingle sets decides.
@@ -21,19 +24,18 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, salted_join, text_of, utf8
+from .common import cut_lineage, salted_join, text_of, unused, utf8
 from .components import components
 
 SEED = 42
 BUDGET = 4
-NODE = 4096
-MAX_NODES = 1024
+NODE = 1 << 16  # fingerprints of a group
+BATCH = 1 << 15  # of small groups joined at once
 LEAF = 128
 SETS = 1024  # shingle sets in a part of a group, at most about
 HASHES = 1 << 20
@@ -78,55 +80,43 @@ def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
     return (least[::2] * _ODD[0] ^ least[1::2]) * _ODD[1] + np.arange(bands, dtype=np.uint64)
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None, bands: int = 0) -> DataFrame:
-    """(id, fp), with `bands` also their keys, and the long columns `more`: fp is the fingerprint as a signed long."""
-    more = more or []
-    names = ["id", "fp", *(["bands"] if bands else []), *more]
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): fp is the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in utf8(batch.column(1))]
-            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            keys = [pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))] if bands else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *keys, *batch.columns[2:]], names=names)
-
-    found = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), *more)
-    return found.mapInArrow(rows, ", ".join(f"{c} {'array<bigint>' if c == 'bands' else 'bigint'}" for c in names))
-
+            fps = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
-    """Where the second child of each node begins; all keys of a node share the bits above `bit`."""
-    one = np.uint64(1) << np.uint64(bit)
-    above = ~((one << np.uint64(1)) - np.uint64(1)) if bit < 63 else np.uint64(0)
-    return np.clip(np.searchsorted(keys, (keys[lo] & above) | one), lo, hi)
+    return df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInArrow(rows, "id bigint, fp bigint")
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of keys within `budget` bits, slice by slice; a and b are sorted and distinct, b None for a with itself."""
-    own = b is None
-    b = a if own else b
-    if not len(a) or not len(b):
+def trie_links(keys: np.ndarray, begins: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of keys within `budget` bits, slice by slice, in each of the groups that begin at `begins`; a group's keys are sorted and distinct."""
+    if not len(keys):
         return
-    alo, ahi = np.zeros(1, np.int64), np.full(1, len(a))
-    blo, bhi = np.zeros(1, np.int64), np.full(1, len(b))
-    acc = np.zeros(1, np.int64)
+    alo = np.asarray(begins, np.int64)
+    ahi = np.append(alo[1:], len(keys))
+    blo, bhi = alo, ahi
+    acc = np.zeros(len(alo), np.int64)
     for bit in range(63, -2, -1):
         small = (ahi - alo) * (bhi - blo) <= (LEAF if bit >= 0 else np.inf)
         if small.any():
-            yield from _leaves(a, b, alo[small], ahi[small], blo[small], bhi[small], own, budget)
+            yield from _leaves(keys, alo[small], ahi[small], blo[small], bhi[small], budget)
             keep = ~small
             alo, ahi, blo, bhi, acc = alo[keep], ahi[keep], blo[keep], bhi[keep], acc[keep]
         if not len(alo) or bit < 0:
             return
-        amid, bmid = _split(a, alo, ahi, bit), _split(b, blo, bhi, bit)
-        once = own & (alo == blo)  # a node with itself: one of the two mixed pairs is enough
-        parts = [(alo, amid, blo, bmid, acc), (amid, ahi, bmid, bhi, acc), (alo, amid, bmid, bhi, acc + 1), (amid, ahi, blo, bmid, np.where(once, budget + 1, acc + 1))]
+        ones = np.append(0, np.cumsum(keys >> np.uint64(bit) & np.uint64(1), dtype=np.int64))  # a node's second child has its keys with the bit
+        amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
+        own = alo == blo  # a node with itself: one of the two mixed pairs is enough
+        parts = [(alo, amid, blo, bmid, acc), (amid, ahi, bmid, bhi, acc), (alo, amid, bmid, bhi, acc + 1), (amid, ahi, blo, bmid, np.where(own, budget + 1, acc + 1))]
         alo, ahi, blo, bhi, acc = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (ahi > alo) & (bhi > blo) & (acc <= budget)
         alo, ahi, blo, bhi, acc = alo[keep], ahi[keep], blo[keep], bhi[keep], acc[keep]
 
 
-def _leaves(a: np.ndarray, b: np.ndarray, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, own: bool, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaves(keys: np.ndarray, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     width = bhi - blo
     # one entry for each key of a's side with the run of b's side, then the runs laid out slice by slice
     rows = np.repeat(np.arange(len(alo)), ahi - alo)
@@ -140,9 +130,7 @@ def _leaves(a: np.ndarray, b: np.ndarray, alo: np.ndarray, ahi: np.ndarray, blo:
         n = runs[at:to]
         i = np.repeat(first[at:to], n)
         j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lows[at:to], n)
-        near = np.bitwise_count(a[i] ^ b[j]) <= budget
-        if own:
-            near &= i < j
+        near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i < j)
         if near.any():
             yield i[near], j[near]
         at = to
@@ -164,107 +152,75 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _node_links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    keys = [np.frombuffer(x, "<u8") for x in pdf["keys"]]
-    a, b = keys[0], keys[1] if len(keys) > 1 else None
-    shift = len(a) if b is not None else 0
-    every = np.concatenate([a, b]) if b is not None else a
-    root = forest(len(every), ((i, j + shift) for i, j in trie_links(a, b, budget)))
-    moved = np.flatnonzero(root != np.arange(len(every)))
-    return pd.DataFrame({"u": every[moved].view(np.int64), "v": every[root[moved]].view(np.int64)})
+def blocks(mask: int, n: int) -> list[int]:
+    """The bits outside of `mask` in n blocks as equal as can be, as masks of their own."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    return [sum(1 << k for k in part.tolist()) for part in np.array_split(np.array(free, np.int64), n) if len(part)]
 
 
-def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v): a spanning forest for each pair of trie nodes of the links among the column fp of `distinct`."""
-    flip = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))  # signed order of this is unsigned order of fp
-    n = distinct.count()
-    nodes = max(1, min(MAX_NODES, -(-n // NODE)))
-    probs = [k / nodes for k in range(1, nodes)]
-    cuts = distinct.agg(F.percentile_approx(flip, probs or [0.5], 10 * nodes + 1000)).first()[0] or []
-    edges = np.unique(np.array(cuts if probs else [], np.int64)) ^ np.int64(-(1 << 63))
-    edges = edges.view(np.uint64)  # a node begins at each of these
-    low = np.concatenate([[np.uint64(0)], edges])
-    high = np.concatenate([edges - np.uint64(1), [~np.uint64(0)]])
-    x = low ^ high
-    free = np.array([int(v).bit_length() for v in x])  # bits below the node's common prefix
-    mask = np.array([(~((1 << int(f)) - 1)) & (2**64 - 1) for f in free], np.uint64)
-    partners = [np.flatnonzero(np.bitwise_count((low[k] ^ low[k:]) & mask[k] & mask[k:]) <= budget) + k for k in range(len(low))]
-    into = [[] for _ in low]
-    for k, with_ in enumerate(partners):
-        for p in with_.tolist():
-            into[k].append((k, p))
-            if p != k:
-                into[p].append((k, p))
-
-    def node_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            node = np.searchsorted(edges, fp, side="right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.astype(np.int32))], names=["fp", "node"])
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(pdf["fp"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "keys": [keys.astype("<u8").tobytes()]})
-
-    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for node, keys in zip(pdf["node"], pdf["keys"], strict=True):
-                to = into[node]
-                for at in range(0, len(to), 64):
-                    part = to[at : at + 64]
-                    yield pd.DataFrame({"a": [p[0] for p in part], "b": [p[1] for p in part], "node": node, "keys": [keys] * len(part)})
-
-    blobs = distinct.select("fp").mapInArrow(node_of, "fp bigint, node int").groupBy("node").applyInPandas(packed, "node int, keys binary")
-    blobs = cut_lineage(blobs)
-    pairs = blobs.mapInPandas(sent, "a int, b int, node int, keys binary")
-    return pairs.groupBy("a", "b").applyInPandas(lambda pdf: _node_links(pdf, budget), "u bigint, v bigint")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _group_links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """A forest of the links in each (key, a, b) of rows sorted by these and fp; columns key, a, b, part, fp."""
-    for _, rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:3]):
-        rows = list(rows)  # at most about two NODEs
-        if len(rows) <= 16:
-            fps = [r[4] for r in rows]
-            out = [(fps[i], fps[j]) for j in range(len(fps)) for i in range(j) if ((fps[i] ^ fps[j]) & _ALL).bit_count() <= budget]
-        else:
-            key, part = np.array([r[4] for r in rows]).view(np.uint64), np.array([r[3] for r in rows])
-            both = rows[0][1] != rows[0][2]
-            a = np.sort(key[part == rows[0][1]])
-            b = np.sort(key[part == rows[0][2]]) if both else None
-            every = np.concatenate([a, b]) if both else a
-            root = forest(len(every), ((i, j + (len(a) if both else 0)) for i, j in trie_links(a, b, budget)))
-            moved = np.flatnonzero(root != np.arange(len(every)))
-            out = list(zip(every[moved].view(np.int64).tolist(), every[root[moved]].view(np.int64).tolist(), strict=True))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+    """A forest of the links in each group; columns mask, value and fp, groups together and sorted by fp without its sign."""
+    held: list[np.ndarray] = []
+    begins: list[int] = []
+    size, last = 0, None
+
+    def joined() -> pa.RecordBatch:
+        keys = np.concatenate(held)
+        root = forest(len(keys), trie_links(keys, np.array(begins), budget))
+        moved = np.flatnonzero(root != np.arange(len(keys)))
+        return pa.RecordBatch.from_arrays([pa.array(keys[moved].view(np.int64)), pa.array(keys[root[moved]].view(np.int64))], names=["u", "v"])
+
+    for batch in batches:
+        mask, value, fp = (c.to_numpy() for c in batch.columns)
+        cuts = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))).tolist() if len(fp) else []
+        for a, b in zip(cuts, [*cuts[1:], len(fp)], strict=True):
+            name = (mask[a], value[a])
+            if name != last:
+                if size >= BATCH:
+                    yield joined()
+                    held, begins, size = [], [], 0
+                begins.append(size)
+                last = name
+            held.append(fp[a:b].view(np.uint64))
+            size += b - a
+    if size:
+        yield joined()
 
 
-def banded_links(rows: DataFrame, budget: int) -> DataFrame:
-    """(u, v): forests of the links within `budget` bits among fingerprints that share a band's key.
-
-    For budgets at which a trie over all fingerprints prunes little. A key with more than NODE fingerprints is cut into
-    parts by hash, and pairs of parts are joined like pairs of trie nodes.
-    """
-    keyed = rows.select("fp", F.explode("bands").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / NODE).cast("int")
-    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    members = keyed.join(sizes.hint("merge"), "key").select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    sent = members.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
-    return sent.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(lambda it: _group_links(it, budget), "u bigint, v bigint").distinct()
-
-
-def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None, budget: int = BUDGET, bands: int = 0) -> DataFrame:
-    """(id, fp, component_id, root) and `more` for every row; component_id is the least id of the row's component, root a key of it.
-
-    Links are all pairs within `budget` bits or, with `bands`, those of them that share a band's key.
+def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(u, v): spanning forests, one for some groups of a task, of the links among the column fp of `distinct`."""
+    rows, masks, found = distinct.select("fp", F.lit(0).cast("bigint").alias("of")), [0], None
+    order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))  # signed order of this is unsigned order of fp
+    while True:
+        below = {m: [m | b for b in blocks(m, budget + 1)] for m in masks}  # the bits that a group shares, before and after
+        entries = [c for m, after in below.items() for c in (F.lit(_signed(m)).cast("bigint"), F.array(*(F.lit(_signed(a)).cast("bigint") for a in after)))]
+        sent = rows.select("fp", F.explode(F.element_at(F.create_map(*entries), F.col("of"))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        if found is not None:
+            sent = sent.distinct()
+        masks = sorted({a for after in below.values() for a in after})
+        over = cut_lineage(sent.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE).select("mask", "value"))
+        last = over.isEmpty() or (1 << 64) - 1 in masks
+        here = sent if last else sent.join(over.hint("merge"), ["mask", "value"], "left_anti")
+        here = here.repartition("mask", "value").sortWithinPartitions("mask", "value", order).select("mask", "value", "fp")
+        links = here.mapInArrow(lambda it: _group_links(it, budget), "u bigint, v bigint")
+        found = links if found is None else found.unionByName(links)
+        if last:
+            return found
+        rows = cut_lineage(sent.join(over.hint("merge"), ["mask", "value"], "left_semi").select("fp", F.col("mask").alias("of")))
+
+
+def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """(id, fp, component_id, root) for every row; component_id is the least id of the row's component, root a key of it.
+
+    Links are all pairs within `budget` bits.
     """
-    rows = cut_lineage(fingerprints(df, width, id_col, text_col, more, bands))
+    rows = cut_lineage(fingerprints(df, width, id_col, text_col))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    links = banded_links(rows, budget) if bands else near_links(classes, budget)
-    return _grouped(rows.drop("bands"), classes, links)
+    return _grouped(rows, classes, near_links(classes, budget))
 
 
 def _grouped(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -369,12 +325,15 @@ def keep_one(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     """The rows of `docs` whose id is the least of their component, one for each component.
 
     Links are the pairs of texts whose sets of shingles have a Jaccard similarity of at least `alike`, among those that share a
-    band's key. Where several rows of a component share its least id (or all ids are null), the one with the least row number stays.
+    band's key. Rows are numbered as they are read, so `docs` must read the same again, as a written table does. Where several rows of a component share its least id (or all ids are null), the one with the least row number stays.
     """
     names = docs.columns
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    (number,) = unused(names, 1)
+    whole, docs = docs, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    id_col, text_col = "id", "text"
     rows = cut_lineage(set_keys(docs, width, bands, id_col, text_col))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     near = _grouped(rows.select("id", "fp", "_row"), classes, alike_links(docs, rows, width, alike, text_col))
     first = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
-    return docs.join(first.select("_row").hint("merge"), "_row", "left_semi").select(*names)
+    first = first.select(F.col("_row").alias(number))
+    return whole.withColumn(number, F.monotonically_increasing_id()).join(first.hint("merge"), number, "left_semi").select(*names)

@@ -41,7 +41,7 @@ CHECK = 6
 STEPS = 300
 CHANCE = 4.0  # in standard deviations
 
-_LETTERS = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
+_LETTERS = np.random.default_rng(29).integers(0, 1 << 63, 256, dtype=np.uint64)
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -65,7 +65,7 @@ class Vocabulary:
         return np.array([ids.setdefault(w, len(ids)) for w in words], np.int32)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words as 32-bit keys, trigram rows, and where each word's trigrams begin."""
+        """Words as 64-bit keys, trigram rows, and where each word's trigrams begin."""
         words = list(self.ids)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
         data = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint32)
@@ -73,19 +73,20 @@ class Vocabulary:
         starts = ends - sizes
         grams = np.full(len(data), 0, np.uint32)
         grams[:-2] = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA6B) + data[2:] * np.uint32(0xC2B2AE35)
-        power = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B1, np.uint32))
+        power = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
         place = np.arange(len(data)) - np.repeat(starts, sizes)
         whole = np.add.reduceat(_LETTERS[data] * power[place], starts)
-        whole = (whole ^ (whole >> np.uint32(16))) * np.uint32(0x27D4EB2F)
+        whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         keep = np.ones(len(data), bool)
         keep[ends - 1] = False
-        keep[ends - 2] = sizes == 2  # the empty word keeps one
+        keep[ends - 2] = sizes == 2  # the empty word keeps one, of its own
+        grams[ends[sizes == 2] - 2] = 1
         first = starts - np.concatenate([[0], np.cumsum(sizes - np.maximum(sizes - 2, 1))[:-1]])
         return whole, _row(grams[keep], GRAMS), first
 
 
 def _row(x: np.ndarray, rows: int) -> np.ndarray:
-    return (((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(8)) % np.uint32(rows)).astype(np.int64)
+    return (((x ^ (x >> x.dtype.type(15))) * x.dtype.type(0x2C1B3C6D) >> x.dtype.type(8)) % x.dtype.type(rows)).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
-    known: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1, np.uint32), np.zeros(1, np.float32)))  # sorted keys, evidence
+    known: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1, np.uint64), np.zeros(1, np.float32)))  # sorted keys, evidence
     shift: float = 0.0
     moments: dict = field(default_factory=dict)
 
@@ -279,7 +280,7 @@ def _weights(c: Corpus, of: np.ndarray) -> np.ndarray:
     """One over the number of texts alike, by the least hashes of word pairs: a group of copies speaks for its words once."""
     least = np.empty((len(of), 4), np.uint64)
     for n, k in enumerate(of.tolist()):
-        h = c.key[c.texts[k]].astype(np.uint64)
+        h = c.key[c.texts[k]]
         h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h) * np.uint64(0xBF58476D1CE4E5B9)
         least[n] = [((h ^ (h >> np.uint64(29))) * np.uint64(m)).min() for m in (0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
     out = np.zeros(len(of))
@@ -297,7 +298,7 @@ def evidence(c: Corpus, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts[c.labels[k], np.unique(c.texts[k])] += w
     n, p = counts.sum(axis=0), np.average(c.labels[of], weights=weight)
     if not 0 < p < 1:
-        return np.zeros(1, np.uint32), np.zeros(1, np.float32)
+        return np.zeros(1, np.uint64), np.zeros(1, np.float32)
     part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(n, 1e-9) / q), 0)
     root = np.sqrt(np.maximum(0, 2 * (part(counts[1], p) + part(counts[0], 1 - p)))) - CHANCE
     some = np.append(0, np.flatnonzero(root > 0))

@@ -1,8 +1,10 @@
 """The factorisation machine and the recurrent network: formulas, gradients, folds and held-out accuracy."""
 
+import string
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("clausewright.llm")
@@ -71,6 +73,74 @@ def test_worst_window_decides():
     assert np.isclose(whole[0], max(each), atol=1e-4) and np.isfinite(whole).all()
 
 
+@pytest.mark.parametrize("seed", [11, 13])
+def test_few_labels_beat_the_majority(seed):
+    """Some 330 labels, 45 of them toxic; two of the six held-out toxic texts have no word that other toxic texts have."""
+    docs, labels = (pq.read_table(f"{SF}/{t}.parquet").to_pylist() for t in ("documents", "labels"))
+    label = {r["doc_id"]: r["toxic"] for r in labels}
+    rows = [(zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0, d["text"] or "", label[d["doc_id"]]) for d in docs if d["doc_id"] in label]
+    net = toxicity.fit([(t, y) for held, t, y in rows if not held], seed)
+    held = [(t, y) for h, t, y in rows if h]
+    said, truth = toxicity.score_texts(net, [t for t, _ in held]) >= 0, np.array([y for _, y in held]) == 1
+    assert (said == truth).mean() > max(truth.mean(), 1 - truth.mean()) + 0.02
+    assert said[truth].mean() >= 1 / 3 and said[~truth].mean() <= 0.02
+
+
+def test_words_have_keys_of_their_own():
+    v = toxicity.Vocabulary()
+    v([f"{a}{b}{c}".encode() for a in "abcdefgh" for b in "ijklmnop" for c in range(200)])
+    assert len(np.unique(v.rows()[0])) == len(v.ids)
+
+
+def plain_logit(net, text):
+    """The network's definition, one window, one word and one step at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    words = text.lower().translate(str.maketrans(string.punctuation, " " * len(string.punctuation))).split() or [""]
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    h, out = toxicity.HIDDEN, []
+    for start in toxicity.windows_of(len(words)):
+        xs = []
+        for w in words[start : start + toxicity.WINDOW]:
+            v = toxicity.Vocabulary()
+            v([w.encode()])
+            key, gram, _ = v.rows()
+            x = p["word"][toxicity._row(key, toxicity.WORDS)[0]] + p["gram"][gram].mean(axis=0)
+            x[0] += dict(zip(net.known[0].tolist(), net.known[1].tolist(), strict=True)).get(int(key[0]), 0)
+            xs.append(x)
+        states = np.zeros((len(xs), 2 * h))
+        for d, half, order in (("f", slice(0, h), range(len(xs))), ("b", slice(h, 2 * h), range(len(xs) - 1, -1, -1))):
+            s = np.zeros(h)
+            for t in order:
+                a = xs[t] @ p[f"in_{d}"] + p[f"b_{d}"]
+                z, r = sig(a[:h] + s @ p[f"rec_{d}"][:, :h]), sig(a[h : 2 * h] + s @ p[f"rec_{d}"][:, h : 2 * h])
+                c = np.tanh(a[2 * h :] + r * (s @ p[f"rec_{d}"][:, 2 * h :]))
+                s = (1 - z) * c + z * s
+                states[t, half] = s
+        e = np.exp(np.tanh(states @ p["att"]) @ p["ask"])
+        out.append((e / e.sum()) @ states @ p["out"] + p["bias"][0])
+    return max(out) - net.shift
+
+
+def test_scores_equal_a_plain_network():
+    net = toxicity.Network.fresh(np.random.default_rng(8))
+    corpus = toxicity.Corpus([(f"Bad{k % 2}, word{k % 3} here {k}", k % 2) for k in range(60)])
+    net.known, net.shift = toxicity.evidence(corpus, np.arange(60)), 0.3
+    texts = ["", "Bad1 word1, here!", " ".join(f"w{k % 17} é{k % 5}" for k in range(90)), "x", "word " * 64]
+    assert np.allclose(toxicity.score_texts(net, texts), [plain_logit(net, t) for t in texts], atol=1e-3)
+
+
+def test_quality_scores_equal_all_pairs(spark):
+    machine = quality.fit([(*quality.features(t.encode()), y) for t, y in [("fine words here", 1), ("zz zz zz", 0), ("", 0)] * 4], epochs=3)
+    texts = ["fine words here and there", "", "zz 1 2 3", "é " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.score for r in quality.score(df, machine).collect()}
+    for k, t in enumerate(texts):
+        index, value = quality.features(t.encode())
+        z = machine.bias + sum(machine.weight[i] * x for i, x in zip(index, value, strict=True))
+        z += sum(float(machine.factor[index[a]] @ machine.factor[index[b]]) * value[a] * value[b] for a in range(len(index)) for b in range(a))
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 @pytest.mark.parametrize(("operator", "label", "folds", "held", "train"), [(quality, "quality", 3, 1, {}), (toxicity, "toxic", 5, 0, {})])
 def test_held_out_accuracy(spark, operator, label, folds, held, train):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

@@ -87,22 +87,6 @@ def test_parts_of_a_group_are_joined(spark, monkeypatch):
     assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()] == [0]
 
 
-def test_banded_links_with_hot_keys(spark, planted, monkeypatch):
-    df, texts = planted
-    monkeypatch.setattr(simhash, "NODE", 4)
-    rows = simhash.fingerprints(df, 5, bands=8).selectExpr("fp", "array_append(bands, 1) bands")  # one key that all share
-    links = {frozenset((r.u, r.v)) for r in simhash.banded_links(rows, 10).collect()}
-    fps = {simhash.fingerprint((t or "").encode(), 5) for t in texts}
-    want = {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 10}
-    signed = {frozenset(x - (1 << 64) if x >> 63 else x for x in p) for p in want}
-    assert links <= signed
-    from clausewright.llm.components import components
-
-    edges = spark.createDataFrame([tuple(p) for p in signed], "u bigint, v bigint")
-    found = spark.createDataFrame([tuple(p) for p in links], "u bigint, v bigint")
-    assert sorted(components(edges, "u", "v").collect()) == sorted(components(found, "u", "v").collect())
-
-
 def test_repeats_go(spark, planted):
     df, texts = planted
     got = {r.doc_id: r for r in corpus_pipeline.suffix_array_stage(spark, df, SF).collect()}

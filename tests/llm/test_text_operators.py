@@ -249,21 +249,35 @@ def test_trie_join_finds_every_link(spark, monkeypatch):
     want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if int(keys[i] ^ keys[j]).bit_count() <= 4}
     for leaf in (1, 4, 128, 10**9):
         monkeypatch.setattr(simhash, "LEAF", leaf)
-        got = [(int(i), int(j)) for x, y in simhash.trie_links(keys, None) for i, j in zip(x, y, strict=True)]
+        got = [(int(i), int(j)) for x, y in simhash.trie_links(keys, np.zeros(1, int)) for i, j in zip(x, y, strict=True)]
         assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
         cut = 300
-        across = {(int(i), int(j) + cut) for x, y in simhash.trie_links(keys[:cut], keys[cut:]) for i, j in zip(x, y, strict=True)}
-        assert across == {(i, j) for i, j in want if i < cut <= j}
-    monkeypatch.setattr(simhash, "NODE", 50)
-    signed = [(int(k),) for k in keys.view(np.int64)]
-    links = simhash.near_links(spark.createDataFrame(signed, "fp bigint")).collect()
-    from clausewright.llm.components import components
-
-    root = {r.node: r.root for r in components(spark.createDataFrame(links, "u bigint, v bigint"), "u", "v").collect()}
+        apart = {(int(i), int(j)) for x, y in simhash.trie_links(np.concatenate([keys[cut:], keys[:cut]]), np.array([0, len(keys) - cut])) for i, j in zip(x, y, strict=True)}
+        back = {((i + cut) % len(keys), (j + cut) % len(keys)) for i, j in apart}
+        assert back == {(i, j) for i, j in want if (i < cut) == (j < cut)}
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp bigint")
     plain = plain_components({i: int(k) for i, k in enumerate(keys)})
-    groups, mine = defaultdict(set), defaultdict(set)
+    groups = defaultdict(set)
     for i, k in enumerate(keys.view(np.int64).tolist()):
         groups[plain[i]].add(k)
+    for node, batch in ((1 << 16, 1 << 15), (30, 64), (3, 1)):  # groups dealt again, and several times
+        monkeypatch.setattr(simhash, "NODE", node)
+        monkeypatch.setattr(simhash, "BATCH", batch)
+        _same_groups(spark, keys, simhash.near_links(df).collect(), groups)
+
+
+def test_blocks_share_out_the_bits():
+    for mask in (0, 0x1FFF, (1 << 64) - 2):
+        parts = simhash.blocks(mask, 5)
+        assert sum(parts) == (1 << 64) - 1 - mask and all(parts)
+
+
+def _same_groups(spark, keys, links, groups):
+    from clausewright.llm.components import components
+
+    root = {r.node: r.root for r in components(spark.createDataFrame(links, "u bigint, v bigint"), "u", "v").collect()}
+    mine = defaultdict(set)
+    for k in keys.view(np.int64).tolist():
         mine[root.get(k, k)].add(k)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
@@ -287,3 +301,10 @@ def test_masking(spark):
     from pyspark.sql import functions as F
 
     assert df.select(secrets.masked(F.col("text"), secrets.base_spans(F.col("text"))).alias("x")).first().x == "a [secret] b"
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a secret=abcdefgh b", "s", 5, 6, 7, 8), (2, "plain", "s", 5, 6, 7, 8), (2, "plain", "s", 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _spans int, _id int, _row int, _X0 int")
+    assert sorted(tuple(r) for r in secrets.mask(df).collect()) == [(1, "a [secret] b", "s", 5, 6, 7, 8), *[(2, "plain", "s", 5, 6, 7, 8)] * 2]
+    assert sorted(tuple(r) for r in simhash.keep_one(df, 5).collect()) == rows[:2]
