@@ -308,3 +308,12 @@ def test_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _spans int, _id int, _row int, _X0 int")
     assert sorted(tuple(r) for r in secrets.mask(df).collect()) == [(1, "a [secret] b", "s", 5, 6, 7, 8), *[(2, "plain", "s", 5, 6, 7, 8)] * 2]
     assert sorted(tuple(r) for r in simhash.keep_one(df, 5).collect()) == rows[:2]
+
+
+def test_close_prints():
+    rng = np.random.default_rng(6)
+    prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    prints = np.concatenate([prints, prints[:40], prints[40:80] ^ np.uint64(0xFF0F)])
+    want = np.bitwise_count(prints[:, None] ^ prints) <= simhash.LOOSE
+    np.fill_diagonal(want, False)
+    assert (simhash.close(prints, simhash.LOOSE) == want).all()
