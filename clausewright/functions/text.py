@@ -19,7 +19,17 @@ MARKERS = {
     "de": (" der ", " die ", " und ", " das "),
     "es": (" el ", " los ", " que ", " por "),
 }
-STOP_WORDS = ("this", "that", "with", "from", "shall", "dans", "pour", "avec", "cette", "nicht", "eine", "para")
+#: Fixed values.
+FRENCH_MARKS = (" le ", " la ", " les ", " des ", " une ", " un ", " de ", " et ", " est ", " au ")
+ENGLISH_MARKS = (" the ", " and ", " of ", " to ", " is ", " are ", " with ", " for ")
+STOP_WORDS = tuple(
+    """what how is are the a an of to in for and or on according collective agreement does
+    provide regarding apply conditions shall be with that this from at by member members university
+    any all may not no if when which who whom whose it its their there here also such other than
+    quelles quel quels quelle que est sont le la les des du de au aux dans pour et ou selon convention
+    collective indique sujet applique sur une un ses leur leurs cette ces avec par plus comme tout
+    tous toute toutes doit peut sera etre être""".split()
+)
 
 
 def tokens(c: Column) -> Column:
@@ -74,6 +84,13 @@ def language_code(c: Column) -> Column:
     return F.when(two == "ge", "de").otherwise(two)
 
 
+def english_or_french(c: Column) -> Column:
+    """French where more of its markers occur than of English ones."""
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))
+    en, fr = (sum((padded.contains(m).cast("int") for m in ms), F.lit(0)) for ms in (ENGLISH_MARKS, FRENCH_MARKS))
+    return F.when(fr > en, "French").otherwise("English")
+
+
 def detect_language(c: Column) -> Column:
     """The language with most markers; ties in the order of MARKERS."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))
@@ -98,7 +115,7 @@ def canonical_tag(c: Column) -> Column:
 
 
 def content_words(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    words = F.regexp_extract_all(F.lower(c), F.lit("[a-zà-ÿ]{4,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(c), F.lit("[a-zA-ZÀ-ÿ]{4,}"), F.lit(0))
     return F.array_except(F.array_distinct(words), F.array(*(F.lit(w) for w in stop)))
 
 
@@ -141,7 +158,8 @@ def difficulty(answer: Column) -> Column:
 
 
 def score_class(c: Column) -> Column:
-    return F.when(c >= 0.7, "high").when(c >= 0.4, "mid").otherwise("low")
+    """The class of a score; none for a score that is not there or not a number."""
+    return F.when(c.isNull() | F.isnan(c.cast("double")), "").when(c >= 0.7, "high").when(c >= 0.4, "mid").otherwise("low")
 
 
 def escape_html(c: Column) -> Column:

@@ -177,22 +177,14 @@ def clause_segment(t):
     return rows.select("doc_id", "c.article", F.col("ord").cast("bigint").alias("ord"), "c.clause", "c.title", "c.page")
 
 
-PIECES = "pieces AS (SELECT doc_id // 7 AS doc, doc_id AS ord, source AS clause, (doc_id % 5)::INT AS page, CASE WHEN n_chars % 3 = 0 THEN substr(text, 1, 40) ELSE text END AS text FROM documents), tk AS (SELECT *, len(regexp_extract_all(text, '[^\\s]+')) AS tokens FROM pieces)"
+PIECES = "pieces AS (SELECT doc_id // 7 AS doc, doc_id AS ord, source AS clause, (doc_id % 5)::INT AS page, text FROM documents), tk AS (SELECT *, len(regexp_extract_all(text, '[^\\s]+')) AS tokens FROM pieces)"
 
 
 @query(f"""WITH {PIECES}, r AS (SELECT *, (tokens >= 30)::INT AS lg, coalesce(sum((tokens >= 30)::INT) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum((tokens >= 30)::INT) OVER (PARTITION BY doc) AS al FROM tk),
 g AS (SELECT *, least(bef, al - 1)::BIGINT AS gid FROM r WHERE al > 0)
 SELECT doc, gid, any_value(clause) FILTER (lg = 1) AS clause, coalesce(arg_min(page, ord) FILTER (lg = 0 AND bef < al), any_value(page) FILTER (lg = 1)) AS page, md5(string_agg(text, chr(10) ORDER BY ord)) AS body FROM g GROUP BY doc, gid""")
 def clause_merge_short(t):
-    d = F.col("doc_id")
-    p = t("documents").select(F.floor(d / 7).cast("bigint").alias("doc"), d.alias("ord"), F.col("source").alias("clause"), (d % 5).cast("int").alias("page"), F.when(F.col("n_chars") % 3 == 0, F.substr("text", F.lit(1), F.lit(40))).otherwise(F.col("text")).alias("text"))
-    p = p.withColumn("tokens", text.token_count(F.col("text")))
-    return chunking.merge_short(p, "doc").select("doc", "gid", "clause", "page", F.md5("text").alias("body"))
-
-
-@query()
-def clause_merge_short_whole(t):
-    """Every document's whole text is a clause. `clause_merge_short` and its SQL cut a third of them to 40 characters."""
+    """Every document's whole text is a clause."""
     d = F.col("doc_id")
     p = t("documents").select(F.floor(d / 7).cast("bigint").alias("doc"), d.alias("ord"), F.col("source").alias("clause"), (d % 5).cast("int").alias("page"), "text", text.token_count(F.col("text")).alias("tokens"))
     return chunking.merge_short(p, "doc").select("doc", "gid", "clause", "page", F.md5("text").alias("body"))

@@ -84,15 +84,18 @@ def qa_candidates(t):
     return e.question_candidates(t("documents"), 40)
 
 
-@query(r"""WITH p AS (SELECT doc_id, trim(x) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)) SELECT doc_id, count(*) FILTER (length(line) > 80) AS n FROM p WHERE TRUE GROUP BY doc_id""")
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+s AS (SELECT doc_id, k, trim(x) AS line, trim(x) = '' OR regexp_matches(trim(x), '^(?:ARTICLE|Article)\s+\d+') AS stop FROM p),
+r AS (SELECT *, count(*) FILTER (stop) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM s),
+b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY k) - 1) // 8 AS part FROM r WHERE NOT stop),
+whole AS (SELECT doc_id, string_agg(line, ' ' ORDER BY k) AS paragraph FROM b GROUP BY doc_id, run, part)
+SELECT doc_id, count(*) FILTER (length(paragraph) > 80) AS n, coalesce(sum(length(paragraph)) FILTER (length(paragraph) > 80), 0)::BIGINT AS n_chars
+FROM documents LEFT JOIN whole USING (doc_id) GROUP BY doc_id""")
 def paragraph_reconstruction(t):
-    return t("documents").select("doc_id", F.size(e.paragraphs(F.split("text", "\n"), most=1)).cast("bigint").alias("n"))
-
-
-@query()
-def paragraph_reconstruction_whole(t):
-    """Paragraphs of up to eight lines, as the operator joins them. `paragraph_reconstruction` and its SQL count single lines."""
-    return t("documents").select("doc_id", F.size(e.paragraphs(F.split("text", "\n"))).cast("bigint").alias("n"))
+    """Paragraphs of up to eight lines; a blank line or a heading ends one."""
+    rows = t("documents").select("doc_id", e.paragraphs(F.split("text", "\n")).alias("p"))
+    chars = F.aggregate("p", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p))
+    return rows.select("doc_id", F.greatest(F.size("p"), F.lit(0)).cast("bigint").alias("n"), F.coalesce(chars, F.lit(0).cast("bigint")).alias("n_chars"))
 
 
 @query("SELECT event_id, round(value, 2) AS latency, event_id % 7 = 0 AS failed FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END AS value FROM events)")
@@ -101,16 +104,15 @@ def telemetry_columns(t):
     return t("events").select("event_id", x.alias("x")).select("event_id", F.col("x.e2e_latency_s").alias("latency"), "x.failed")
 
 
-@query(f"""WITH {BM25}, near AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 5), sets AS (SELECT doc_id, lang, list_distinct({TOK.format('text')}) AS s FROM documents), qs AS (SELECT item_id, list_distinct({TOK.format('text')}) AS s FROM benchmark),
-o AS (SELECT item_id, doc_id, round(len(list_intersect(qs.s, sets.s))::DOUBLE / len(qs.s), 6) AS overlap FROM near JOIN qs USING (item_id) JOIN sets USING (doc_id) WHERE lang IN ('en', 'fr'))
-SELECT item_id, doc_id, overlap, round(100 * overlap) >= 80 AS accepted FROM o WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) = 1""")
-def gold_finder(t):
-    return _gold_chunks(t, retrieval.bm25(t("documents"), t("benchmark"), 5))
+ASKED = BM25.replace("FROM documents", "FROM documents WHERE lang IN ('en', 'fr')")
 
 
-@query()
-def gold_finder_whole(t):
-    """The 20 nearest among the languages asked for. `gold_finder` and its SQL filter five hits of all languages."""
+@query(f"""WITH {ASKED}, near AS (SELECT item_id, doc_id FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20),
+sets AS (SELECT doc_id, list_distinct({TOK.format('text')}) AS s FROM documents), qs AS (SELECT item_id, list_distinct({TOK.format('text')}) AS s FROM benchmark),
+o AS (SELECT item_id, doc_id, round(len(list_intersect(qs.s, sets.s))::DOUBLE / len(qs.s), 6) AS overlap FROM near JOIN qs USING (item_id) JOIN sets USING (doc_id))
+SELECT item_id, doc_id, overlap, round(100 * overlap) >= 80 AS accepted FROM o WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) = 1""")
+def gold_finder(t):
+    """The best of the 20 nearest among the languages asked for, which are filtered first."""
     return _gold_chunks(t, retrieval.bm25(t("documents").where(F.col("lang").isin("en", "fr")), t("benchmark"), 20))
 
 

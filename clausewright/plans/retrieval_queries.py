@@ -46,19 +46,13 @@ def bm25_topk(t):
     return r.bm25(t("documents"), t("benchmark"), 10).select("item_id", "doc_id", "score", "rank")
 
 
-@query(f"""WITH {BM25}, few AS (SELECT item_id, doc_id, score FROM bm WHERE rank <= 3),
+@query(f"""WITH {BM25}, hits AS (SELECT item_id, doc_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20),
 first AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 40),
-fill AS (SELECT item_id, doc_id, 0.0::DOUBLE AS score FROM benchmark CROSS JOIN first ANTI JOIN few USING (item_id, doc_id)),
-everything AS (SELECT * FROM few UNION ALL SELECT * FROM fill)
+fill AS (SELECT item_id, doc_id, 0.0::DOUBLE AS score FROM benchmark CROSS JOIN first ANTI JOIN hits USING (item_id, doc_id)),
+everything AS (SELECT * FROM hits UNION ALL SELECT * FROM fill)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM everything QUALIFY rank <= 20""")
 def bm25_zero_fill(t):
-    few = r.bm25(t("documents"), t("benchmark"), 3)
-    return r.zero_filled(few, t("documents"), t("benchmark"), 20).select("item_id", "doc_id", "score", "rank")
-
-
-@query()
-def bm25_zero_fill_whole(t):
-    """Every hit of the list stays; only the places without one are filled. `bm25_zero_fill` and its SQL keep three hits."""
+    """Every hit of the list stays; only the places without one are filled."""
     hits = r.bm25(t("documents"), t("benchmark"), 20)
     return r.zero_filled(hits, t("documents"), t("benchmark"), 20).select("item_id", "doc_id", "score", "rank")
 

@@ -57,6 +57,13 @@ def detect_language(t):
     return t("documents").select("doc_id", text.detect_language(F.col("text")).alias("detected"))
 
 
+@query("""SELECT doc_id, CASE WHEN len(list_filter([' le ', ' la ', ' les ', ' des ', ' une ', ' un ', ' de ', ' et ', ' est ', ' au '], lambda m: contains(s, m)))
+ > len(list_filter([' the ', ' and ', ' of ', ' to ', ' is ', ' are ', ' with ', ' for '], lambda m: contains(s, m))) THEN 'French' ELSE 'English' END AS detected
+FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS s FROM documents)""")
+def english_or_french(t):
+    return t("documents").select("doc_id", text.english_or_french(F.col("text")).alias("detected"))
+
+
 @query("""SELECT item_id, k, CASE WHEN regexp_matches(q, '\\b(?:19|20)\\d{2}\\b') THEN q WHEN k = 1 THEN q || ' convention collective 2020 - 2025' ELSE q || ' collective agreement 2020 - 2025' END AS augmented
 FROM (SELECT item_id, k, text || CASE k WHEN 2 THEN ' in 2022' WHEN 3 THEN ' Clause 3000' ELSE '' END AS q FROM benchmark, range(4) r(k))""")
 def year_augmentation(t):
@@ -136,7 +143,8 @@ def header_labels(t):
     return t("documents").select("doc_id", F.array_join(text.header_labels(F.array(*(node(j) for j in range(7)))), ";").alias("labels"))
 
 
-@query(f"SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]{{4,}}')), lambda x: NOT list_contains([{', '.join(repr(w) for w in text.STOP_WORDS)}], x))) AS n FROM documents")
+@query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-ZÀ-ÿ]{4,}')), lambda x: NOT list_contains(string_split(
+'what how is are the a an of to in for and or on according collective agreement does provide regarding apply conditions shall be with that this from at by member members university any all may not no if when which who whom whose it its their there here also such other than quelles quel quels quelle que est sont le la les des du de au aux dans pour et ou selon convention collective indique sujet applique sur une un ses leur leurs cette ces avec par plus comme tout tous toute toutes doit peut sera etre être', ' '), x))) AS n FROM documents""")
 def content_words(t):
     return t("documents").select("doc_id", F.size(text.content_words(F.col("text"))).alias("n"))
 
