@@ -116,13 +116,15 @@ def error_class(cited: Column, same_edition: Column, other_edition: Column) -> C
 def keyword_category(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(doc_id, category, score): phrases count 2, words 1; the highest sum wins, ties alphabetically.
 
-    Single words meet texts by token; phrases, a short list of constants, are looked up in the text.
+    Single words meet texts by token; phrases, a list of constants, are looked up in the text, a hundred at a time.
     """
     single = keywords.where("NOT contains(word, ' ')")
-    phrases = [(r["category"], r["word"]) for r in keywords.where("contains(word, ' ')").limit(1000).collect()]  # a lookup list
+    phrases = [(r["category"], r["word"]) for r in keywords.where("contains(word, ' ')").collect()]  # a lookup list
     hits = texts.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(single, "word").select("doc_id", "category", F.lit(1).alias("w"))
-    pairs = F.array(*(F.when(F.contains("text", F.lit(w)), F.lit(c)) for c, w in phrases)) if phrases else F.array().cast("array<string>")
-    more = texts.select("doc_id", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("category")).withColumn("w", F.lit(2))
-    sums = hits.unionByName(more).groupBy("doc_id", "category").agg(F.sum("w").alias("score"))
+    for at in range(0, len(phrases), 100):
+        pairs = F.array(*(F.when(F.contains("text", F.lit(w)), F.lit(c)) for c, w in phrases[at : at + 100]))
+        more = texts.select("doc_id", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("category")).withColumn("w", F.lit(2))
+        hits = hits.unionByName(more)
+    sums = hits.groupBy("doc_id", "category").agg(F.sum("w").alias("score"))
     best = sums.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "category")).alias("b"))
     return best.select("doc_id", F.col("b.category").alias("category"), (-F.col("b.s")).alias("score"))

@@ -150,3 +150,36 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text('"total": 3}\n{"total": 4}\n')
     assert [r.total for r in files.read_json(spark, str(tmp_path / "bad.json"), "total int").collect()] == [None, 4]
     assert one(spark, files.needs_ocr(F.array(F.lit("x"), F.lit("y")))) is True
+
+
+def test_upsert_stream_goes_on_after_a_restart(spark, tmp_path):
+    from clausewright.streaming import incremental
+
+    def add(rows, name):
+        spark.createDataFrame(rows, "k bigint, n bigint").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        source = spark.readStream.schema("k bigint, n bigint").parquet(str(tmp_path / "in" / "*"))
+        path = incremental.upsert_stream(spark, source, ["k"], "n", str(tmp_path / "ledger"))
+        return sorted(tuple(r) for r in spark.read.parquet(path).collect())
+
+    add([(1, 1), (2, 1)], "a")
+    assert run() == [(1, 1), (2, 1)]
+    add([(2, 2), (3, 2)], "b")
+    assert run() == [(1, 1), (2, 2), (3, 2)] == run()
+
+
+def test_score_class_and_language_of_nothing(spark):
+    from clausewright.functions import text
+
+    df = spark.createDataFrame([(None, None), (float("nan"), ""), (0.7, "la fin de the"), (0.4, "le the")], "x double, s string")
+    rows = df.select(text.score_class(F.col("x")).alias("c"), text.english_or_french(F.col("s")).alias("l")).collect()
+    assert [tuple(r) for r in rows] == [("", "English"), ("", "English"), ("high", "French"), ("mid", "English")]
+
+
+def test_more_phrases_than_a_block(spark):
+    from clausewright.operators import analysis
+
+    texts = spark.createDataFrame([(1, "see phrase 1150 here", ["see"])], "doc_id bigint, text string, tokens array<string>")
+    keywords = spark.createDataFrame([(f"c{k}", f"phrase {k}") for k in range(1001, 1203)], "category string, word string")
+    assert [tuple(r) for r in analysis.keyword_category(texts, keywords).collect()] == [(1, "c1150", 2)]
