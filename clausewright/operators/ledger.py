@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import blank, filled, number, truthy
+from ..functions.predicates import TRUE_ONE, answered, blank, filled, number, truthy
 
 
 def migrate(df: DataFrame, columns: list[str], default: str | None = "") -> DataFrame:
@@ -109,6 +109,18 @@ def keep_best(df: DataFrame, keys: list[str], place: str) -> DataFrame:
     return keep_one(df, keys, F.asc("invalid"), F.desc("f1"), F.desc("mrr"), F.desc("faith"), F.desc(place))
 
 
+def keep_best_retrieval(df: DataFrame, keys: list[str], place: str, most: int = 5) -> DataFrame:
+    """The row of each key with the highest fused scores, then recency scores, source by source; then grounded ones, answered ones,
+    those of fewer attempts, and the first in `place`. Scores that are missing count as 0, attempts that are missing come last."""
+    of = {c.lower(): F.col(c) for c in df.columns}
+    scores = [f"source{k}_{s}" for s in ("rrf_score", "recency_adjusted_cosine_score") for k in range(1, most + 1)]
+    order = [F.coalesce(number(of[c]), F.lit(0.0)).desc() for c in scores if c in of]
+    order += [truthy(of["grounded"], TRUE_ONE).desc()] if "grounded" in of else []
+    order += [F.coalesce(answered(of["answer"]), F.lit(False)).desc()] if "answer" in of else []
+    order += [number(of["attempts"]).asc_nulls_last()] if "attempts" in of else []
+    return keep_one(df, keys, *order, F.asc(place))
+
+
 def flag_split(flag: Column) -> Column:
     """keep, drop or undecided (which is kept too)."""
     s = F.lower(F.trim(F.coalesce(flag, F.lit(""))))

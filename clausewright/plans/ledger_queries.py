@@ -170,3 +170,12 @@ def sources_round_trip(t):
     back = flat.withColumn("source2_id", F.when(F.col("label") % 2 == 0, F.col("source2_id")).otherwise("nan")).withColumns({"source1_adj": F.col("source1_cosine_score"), "source2_adj": F.col("source2_cosine_score")})
     n = F.size(g.nested_sources(back, 2))
     return back.select("vec_id", "source1_id", F.col("source1_cosine_score").alias("s1"), F.concat(F.lit("c"), F.col("label") + 1).alias("source2_id"), F.col("source2_cosine_score").alias("s2"), n.alias("n_back"))
+
+
+@query("""SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type
+ORDER BY CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 3 END DESC, event_id % 2 DESC, (event_id % 5 < 2) DESC, (event_id % 7 < 4) DESC, CASE WHEN event_id % 6 > 0 THEN event_id % 6 END ASC NULLS LAST, event_id) = 1""")
+def dedup_best_retrieval(t):
+    i = F.col("event_id")
+    rows = t("events").select("event_id", "user_id", "event_type", F.when(i % 4 == 0, "").otherwise((i % 3).cast("string")).alias("source1_rrf_score"), (i % 2).alias("source2_recency_adjusted_cosine_score"))
+    rows = rows.withColumns({"grounded": F.when(i % 5 == 0, " True").when(i % 5 == 1, "1").otherwise("no"), "answer": F.when(i % 7 < 4, "text").when(i % 7 == 4, "Error").when(i % 7 == 5, "nan"), "attempts": F.when(i % 6 > 0, (i % 6).cast("string")).otherwise("?")})
+    return g.keep_best_retrieval(rows, ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type")
