@@ -6,8 +6,10 @@ sum passes the budget; small pairs are compared outright.
 
 It is distributed by the pigeonhole principle: of budget + 1 blocks of the bits, two fingerprints within the budget share one
 whole. So each fingerprint goes to one group for each block, by the block's value, and the join starts from every group with
-itself. A group of more than NODE fingerprints is dealt again by blocks of the bits it does not share, as often as needed: tasks
-stay of one size, and only the number of groups grows with the data. A task hands on a spanning forest of
+itself. A group of more than NODE fingerprints is cut into parts by hash, each pair of parts is a task, and the join starts from the
+two parts' roots: n fingerprints are sent n / NODE times. Beyond PARTS parts (millions of different fingerprints that agree in a block) the group is
+linked by midpoints instead: two fingerprints within four bits both lie within two bits of some third value, and all that do are within four bits of each other,
+so linking those around each value to the least of them loses no component, at a fixed number of rows a fingerprint. A task hands on a spanning forest of
 the links it found, not the links, and the forests are joined by distributed star steps, so no group of copies is expanded into pairs.
 
 `keep_one` links by the texts themselves: keys of least hashes bring candidates into one group, the trie join of their
@@ -21,7 +23,7 @@ the minimum; repeated rows stay; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ from .components import components
 SEED = 42
 BUDGET = 4
 LOOSE = 24  # bits; sets alike in 0.8 differ in 9.7 of 64 bits on average, with a standard deviation of 2.9
-NODE = 1 << 16  # fingerprints of a group
+NODE = 1 << 16  # fingerprints of a group, or of a part of one
+PARTS = 64
+WAVE = 1 << 20  # pairs of nodes taken at once
 BATCH = 1 << 15  # of small groups joined at once
 LEAF = 128
 SETS = 1024  # shingle sets in a part of a group, at most about
@@ -94,27 +98,45 @@ def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 def trie_links(keys: np.ndarray, begins: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of keys within `budget` bits, slice by slice, in each of the groups that begin at `begins`; a group's keys are sorted and distinct."""
+    low = np.asarray(begins, np.int64)
+    high = np.append(low[1:], len(keys))
+    yield from trie_join(keys, low, high, low, high, budget)
+
+
+def trie_join(keys: np.ndarray, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of keys within `budget` bits between the tries at [alo, ahi) and [blo, bhi), which are equal or a before b; keys of a trie are sorted and distinct."""
     if not len(keys):
         return
-    alo = np.asarray(begins, np.int64)
-    ahi = np.append(alo[1:], len(keys))
-    blo, bhi = alo, ahi
-    acc = np.zeros(len(alo), np.int64)
-    for bit in range(63, -2, -1):
+    waves = [(63, alo, ahi, blo, bhi, np.zeros(len(alo), np.int64))]
+    while waves:  # the deepest first, so that few wait
+        bit, alo, ahi, blo, bhi, acc = waves.pop()
         small = (ahi - alo) * (bhi - blo) <= (LEAF if bit >= 0 else np.inf)
         if small.any():
             yield from _leaves(keys, alo[small], ahi[small], blo[small], bhi[small], budget)
             keep = ~small
             alo, ahi, blo, bhi, acc = alo[keep], ahi[keep], blo[keep], bhi[keep], acc[keep]
         if not len(alo) or bit < 0:
-            return
-        ones = np.append(0, np.cumsum(keys >> np.uint64(bit) & np.uint64(1), dtype=np.int64))  # a node's second child has its keys with the bit
-        amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
+            continue
+        amid, bmid = _halves(keys, alo, ahi, bit), _halves(keys, blo, bhi, bit)
         own = alo == blo  # a node with itself: one of the two mixed pairs is enough
         parts = [(alo, amid, blo, bmid, acc), (amid, ahi, bmid, bhi, acc), (alo, amid, bmid, bhi, acc + 1), (amid, ahi, blo, bmid, np.where(own, budget + 1, acc + 1))]
-        alo, ahi, blo, bhi, acc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = (ahi > alo) & (bhi > blo) & (acc <= budget)
-        alo, ahi, blo, bhi, acc = alo[keep], ahi[keep], blo[keep], bhi[keep], acc[keep]
+        nodes = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        keep = (nodes[1] > nodes[0]) & (nodes[3] > nodes[2]) & (nodes[4] <= budget)
+        nodes = [x[keep] for x in nodes]
+        waves += [(bit - 1, *(x[at : at + WAVE] for x in nodes)) for at in range(0, len(nodes[0]), WAVE)]
+
+
+def _halves(keys: np.ndarray, low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
+    """Where in each sorted run of keys that share their upper bits those with the bit begin, by binary search on all at once."""
+    low, high = low.copy(), high.copy()
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            return low
+        mid = (low[open_] + high[open_]) // 2
+        one = (keys[mid] >> np.uint64(bit) & np.uint64(1)).astype(bool)
+        high[open_] = np.where(one, mid, high[open_])
+        low[open_] = np.where(one, low[open_], mid + 1)
 
 
 def _leaves(keys: np.ndarray, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,27 +186,38 @@ def _signed(x: int) -> int:
 
 
 def _group_links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """A forest of the links in each group; columns mask, value and fp, groups together and sorted by fp without its sign."""
+    """A forest of the links in each group, or between two parts of one; columns mask, value, i, j, part and fp, sorted by these, fp without its sign."""
     held: list[np.ndarray] = []
-    begins: list[int] = []
+    runs: list[tuple[tuple, int]] = []  # (mask, value, i, j, part) and where it begins
     size, last = 0, None
 
     def joined() -> pa.RecordBatch:
         keys = np.concatenate(held)
-        root = forest(len(keys), trie_links(keys, np.array(begins), budget))
+        ends = [at for _, at in runs[1:]] + [size]
+        pairs = []
+        for n, ((*task, part), at) in enumerate(runs):
+            if task[2] == task[3]:
+                pairs.append((at, ends[n], at, ends[n]))
+            elif part == task[2] and n + 1 < len(runs) and list(runs[n + 1][0][:4]) == task:
+                pairs.append((at, ends[n], ends[n], ends[n + 1]))
+        bounds = np.array(pairs, np.int64).reshape(-1, 4).T
+        root = forest(len(keys), trie_join(keys, *bounds, budget))
         moved = np.flatnonzero(root != np.arange(len(keys)))
         return pa.RecordBatch.from_arrays([pa.array(keys[moved].view(np.int64)), pa.array(keys[root[moved]].view(np.int64))], names=["u", "v"])
 
     for batch in batches:
-        mask, value, fp = (c.to_numpy() for c in batch.columns)
-        cuts = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))).tolist() if len(fp) else []
+        *names, fp = (c.to_numpy() for c in batch.columns)
+        changed = np.zeros(max(0, len(fp) - 1), bool)
+        for c in names:
+            changed |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()] if len(fp) else []
         for a, b in zip(cuts, [*cuts[1:], len(fp)], strict=True):
-            name = (mask[a], value[a])
+            name = tuple(int(c[a]) for c in names)
             if name != last:
-                if size >= BATCH:
+                if size >= BATCH and (not last or name[:4] != last[:4]):
                     yield joined()
-                    held, begins, size = [], [], 0
-                begins.append(size)
+                    held, runs, size = [], [], 0
+                runs.append((name, size))
                 last = name
             held.append(fp[a:b].view(np.uint64))
             size += b - a
@@ -194,24 +227,32 @@ def _group_links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
 
 def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(u, v): spanning forests, one for some groups of a task, of the links among the column fp of `distinct`."""
-    rows, masks, found = distinct.select("fp", F.lit(0).cast("bigint").alias("of")), [0], None
+    masks = F.array(*(F.lit(_signed(m)).cast("bigint") for m in blocks(0, budget + 1)))
+    sent = distinct.select("fp", F.explode(masks).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    n = F.count(F.lit(1)).alias("n")
+    large = cut_lineage(sent.groupBy("mask", "value").agg(n).where(F.col("n") > NODE).select("mask", "value", F.ceil(F.col("n") / NODE).cast("int").alias("parts")))
+    zero = F.lit(0).cast("int")
+    tasks = sent.join(large.hint("merge"), ["mask", "value"], "left_anti").select("mask", "value", zero.alias("i"), zero.alias("j"), zero.alias("part"), "fp")
+    if not large.isEmpty():
+        cut = cut_lineage(salted_join(sent, large, ["mask", "value"], "fp"))
+        most = PARTS if budget % 2 == 0 else 1 << 30
+        of = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        parts = cut.where(F.col("parts") <= most).withColumn("part", of).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tasks = tasks.unionByName(parts.select("mask", "value", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "fp"))
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))  # signed order of this is unsigned order of fp
-    while True:
-        below = {m: [m | b for b in blocks(m, budget + 1)] for m in masks}  # the bits that a group shares, before and after
-        entries = [c for m, after in below.items() for c in (F.lit(_signed(m)).cast("bigint"), F.array(*(F.lit(_signed(a)).cast("bigint") for a in after)))]
-        sent = rows.select("fp", F.explode(F.element_at(F.create_map(*entries), F.col("of"))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        if found is not None:
-            sent = sent.distinct()
-        masks = sorted({a for after in below.values() for a in after})
-        over = cut_lineage(sent.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE).select("mask", "value"))
-        last = over.isEmpty() or (1 << 64) - 1 in masks
-        here = sent if last else sent.join(over.hint("merge"), ["mask", "value"], "left_anti")
-        here = here.repartition("mask", "value").sortWithinPartitions("mask", "value", order).select("mask", "value", "fp")
-        links = here.mapInArrow(lambda it: _group_links(it, budget), "u bigint, v bigint")
-        found = links if found is None else found.unionByName(links)
-        if last:
-            return found
-        rows = cut_lineage(sent.join(over.hint("merge"), ["mask", "value"], "left_semi").select("fp", F.col("mask").alias("of")))
+    tasks = tasks.repartition("mask", "value", "i", "j").sortWithinPartitions("mask", "value", "i", "j", "part", order)
+    links = tasks.mapInArrow(lambda it: _group_links(it, budget), "u bigint, v bigint")
+    if large.isEmpty():
+        return links
+    return links.unionByName(midpoint_links(cut.where(F.col("parts") > most).select("fp").distinct(), budget))
+
+
+def midpoint_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(u, v): every fingerprint with the least one around each value within half of the (even) budget of it."""
+    flips = [sum(1 << b for b in some) for n in range(budget // 2 + 1) for some in combinations(range(64), n)]
+    around = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(x)).cast("bigint") for x in flips))).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("value"))
+    low = around.groupBy("value").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("value", "low")
+    return salted_join(around, low, "value", "fp").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def near_duplicates(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

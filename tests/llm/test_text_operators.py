@@ -260,9 +260,11 @@ def test_trie_join_finds_every_link(spark, monkeypatch):
     groups = defaultdict(set)
     for i, k in enumerate(keys.view(np.int64).tolist()):
         groups[plain[i]].add(k)
-    for node, batch in ((1 << 16, 1 << 15), (30, 64), (3, 1)):  # groups dealt again, and several times
+    for node, batch, most in ((1 << 16, 1 << 15, 64), (30, 64, 64), (3, 1, 64), (9, 64, 3)):  # groups in parts, in many, and by midpoints
         monkeypatch.setattr(simhash, "NODE", node)
         monkeypatch.setattr(simhash, "BATCH", batch)
+        monkeypatch.setattr(simhash, "PARTS", most)
+        monkeypatch.setattr(simhash, "WAVE", node)
         _same_groups(spark, keys, simhash.near_links(df).collect(), groups)
 
 
