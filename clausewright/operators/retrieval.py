@@ -6,6 +6,10 @@ counts come from one aggregation. The per-question top-k is a row_number filter,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ from ..functions.text import tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF = 60
-QUERY_BLOCK = 20_000
+COMPONENTS = 1 << 24  # of a slice's vectors
+QUERY_GROUP = 1 << 16
 
 
 def postings(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,26 +75,80 @@ def similarity(distance: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.lit(1.0) - distance), 6)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return dot / (norm(a) * norm(b))
-
-
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(item_id, doc_id, cosine, rank): exact neighbours, queries sent in blocks of about QUERY_BLOCK, each in one pass over the vectors."""
-    q = queries.select("item_id", F.col("embedding").alias("q"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, same: bool = False, components: int = COMPONENTS, group: int = QUERY_GROUP) -> DataFrame:
+    """(item_id, doc_id, cosine, rank): the exact k nearest of `vectors` (doc_id, embedding) for each of `queries` (item_id, embedding).
 
-    def best(block: int) -> DataFrame:
-        part = F.broadcast(q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))
-        pairs = vectors.join(part, F.col("doc_id") != F.col("item_id"))
-        return top(pairs.select("item_id", "doc_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")), "cosine", k)
-
-    out = best(0)
-    for b in range(1, blocks):
-        out = out.unionByName(best(b))
-    return out
+    `where` filters the vectors before the search; without `same` a vector with the query's own id is left out. Vectors are dealt to
+    slices and queries to groups of bounded size; a task holds one slice as a normalised matrix, lets the queries of one
+    group stream past in blocks, and hands on each query's first k. Vectors that are null, zero, not finite, or not of the most common length take no part.
+    """
+    if where is not None:
+        vectors = vectors.where(where)
+    v = vectors.select(F.col("doc_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _usable(F.col("v")))
+    q = queries.select(F.col("item_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _usable(F.col("v")))
+    common = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    dim, n = common[0] if common else (1, 0)
+    v, q = v.where(F.size("v") == dim), q.where(F.size("v") == dim)
+    slices = max(1, -(-n * dim // components), min(v.sparkSession.sparkContext.defaultParallelism, -(-n // 4096)))
+    groups = max(1, -(-q.count() // group))
+    of = lambda m, *salt: F.pmod(F.xxhash64("id", *salt), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = v.select("id", "v", of(slices).alias("slice"), every(groups).alias("group"), F.lit(0).alias("kind"))
+    asked = q.select("id", "v", every(slices).alias("slice"), of(groups, F.lit(1)).alias("group"), F.lit(1).alias("kind"))
+    cells = rows.unionByName(asked).select((F.col("slice") * groups + F.col("group")).cast("bigint").alias("cell"), "kind", "id", "v")
+    ordered = cells.repartition("cell").sortWithinPartitions("cell", "kind")
+    return top(ordered.mapInArrow(lambda it: _nearest(it, dim, k, same), "item_id bigint, doc_id bigint, cosine double"), "cosine", k)
+
+
+def _usable(v: Column) -> Column:
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], dim: int, k: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """The first k of each query in a cell: vectors (kind 0) and then queries, sorted by cell and kind."""
+    now, held, ids, x = None, [], None, None
+    for batch in batches:
+        cell, kind, id_ = (batch.column(c).to_numpy() for c in range(3))
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
+            if low == high:
+                continue
+            part = batch.column(3).slice(low, high - low).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            unit = part / np.linalg.norm(part, axis=1, keepdims=True)
+            if cell[low] != now:
+                now, held, ids = cell[low], [], None
+            if kind[low] == 0:
+                held.append((id_[low:high], unit))
+                continue
+            if held:
+                ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                held = []
+            for at in range(0, len(unit), 256) if ids is not None else ():
+                yield _first_k(id_[low + at : min(high, low + at + 256)], unit[at : at + 256], ids, x, k, same)
+
+
+def _first_k(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, same: bool) -> pa.RecordBatch:
+    cosines = np.round(q @ x.T, 6) + 0.0
+    if not same:
+        cosines[query_ids[:, None] == ids] = -2
+    least = np.partition(cosines, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+    found = []
+    for n, (row, bound) in enumerate(zip(cosines, least, strict=True)):
+        at = np.flatnonzero((row >= bound) & (row > -2))
+        at = at[np.lexsort((ids[at], -row[at]))[:k]]
+        found.append((np.full(len(at), query_ids[n]), ids[at], row[at]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["item_id", "doc_id", "cosine"])
+
+
+def hybrid(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, rank, cosine, recency_adj, rrf): the k best by rank fusion of 2k neighbours, newest first among near ties, and 2k BM25 hits.
+
+    chunks: doc_id, text, embedding, weight; questions: item_id, text, embedding.
+    """
+    near = dense(chunks, questions, 2 * k, same=True)
+    weights = chunks.select("doc_id", "weight")
+    ranked = rerank(near.withColumnRenamed("cosine", "score").join(weights, "doc_id"), 2 * k)
+    return score_triples(fuse(ranked, bm25(chunks, questions, 2 * k), k), near, weights)
 
 
 def tie_buckets(rows: Column, threshold: float = 0.02) -> Column:

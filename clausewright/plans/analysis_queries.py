@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import analysis as a
-from ..operators import chunking, gold, sampling
+from ..operators import chunking, gold, sampling, textmatch
 from .registry import query
 
 TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -214,12 +214,12 @@ def sets(t):
 
 @query(f"WITH {SETS} SELECT item_id, doc_id, round(overlap, 6) AS overlap FROM ov QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) = 1")
 def argmax_chunk(t):
-    return gold.best_chunk(gold.overlaps(*sets(t))).withColumn("overlap", F.round("overlap", 6))
+    return textmatch.best(*sets(t)).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"WITH {SETS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM ov) SELECT item_id, doc_id, rank, round(overlap, 6) AS overlap FROM r WHERE overlap >= 0.3::DOUBLE OR rank = 1")
 def resolve_ids_by_text(t):
-    return gold.resolved(gold.overlaps(*sets(t))).withColumn("overlap", F.round("overlap", 6))
+    return textmatch.resolved(*sets(t)).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"""WITH {SETS}, b AS (SELECT item_id, doc_id FROM ov QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) = 1),
@@ -228,7 +228,7 @@ y AS (SELECT item_id, doc_id, round(len(list_intersect(q, s))::DOUBLE / len(q),
 SELECT item_id, doc_id, CASE greatest(s0, s1, s2, s3) WHEN s0 THEN 'single' WHEN s1 THEN 'forward' WHEN s2 THEN 'backward' ELSE 'both' END AS how, greatest(s0, s1, s2, s3) AS score, round(100 * greatest(s0, s1, s2, s3)) >= 80 AS accepted FROM y""")
 def chunk_expansion(t):
     q, d = sets(t)
-    return gold.expanded(gold.best_chunk(gold.overlaps(q, d)), q, d)
+    return gold.expanded(textmatch.best(q, d), q, d)
 
 
 PICKED = "s AS (SELECT doc_id, lang, label, row_number() OVER (PARTITION BY lang, label ORDER BY md5('42:' || doc_id), doc_id) AS pick FROM (SELECT doc_id, lang, coalesce(quality, 2) AS label FROM documents LEFT JOIN labels USING (doc_id)) QUALIFY pick <= CASE WHEN label = 2 THEN 8 ELSE 7 END)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical, metrics, text
 from ..operators import retrieval as r
+from ..operators import textmatch
 from .registry import query
 
 TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -71,18 +72,43 @@ def overlap_rank(t, k: int = 10):
     return r.top(scored, "score", k)
 
 
-@query(f"WITH {BM25}, {OVERLAP}, {FUSED} SELECT item_id, doc_id, rrf, rank FROM fused")
+NEAR = """
+base AS (SELECT b.item_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, round(0.3 + 0.7 * ((v.vec_id % 29) / 28.0::DOUBLE), 4) AS weight
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)),
+ord AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM base QUALIFY n <= 10),
+walk AS (SELECT item_id, n, doc_id, score, weight, score AS anchor FROM ord WHERE n = 1
+ UNION ALL SELECT o.item_id, o.n, o.doc_id, o.score, o.weight, CASE WHEN w.anchor - o.score < 0.02::DOUBLE THEN w.anchor ELSE o.score END FROM walk w JOIN ord o ON o.item_id = w.item_id AND o.n = w.n + 1),
+dn AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY anchor DESC, weight DESC, score DESC, doc_id) AS rank FROM walk)"""
+INDEXED = BM25.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+
+
+def chunk_store(t):
+    """Documents with their vectors and recency weights, and the benchmark's passages with theirs as questions."""
+    v = t("embeddings").select("vec_id", "embedding")
+    chunks = t("documents").select("doc_id", "text", text.recency_weight(F.lit(1998) + F.col("doc_id") % 29).alias("weight")).join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    return chunks, t("benchmark").select("item_id", "text").join(v.withColumnRenamed("vec_id", "item_id"), "item_id", "left")
+
+
+@query(f"WITH RECURSIVE {INDEXED}, {NEAR}, {FUSED} SELECT item_id, doc_id, rrf, rank FROM fused")
 def rrf_fusion(t):
-    return r.fuse(overlap_rank(t), r.bm25(t("documents"), t("benchmark"), 10), 5)
+    """Neighbours by cosine, newest first among near ties, fused with BM25 hits."""
+    return r.hybrid(*chunk_store(t), 5).select("item_id", "doc_id", "rrf", "rank")
 
 
-@query(f"""WITH {BM25}, {OVERLAP}, {FUSED}
+@query(f"""WITH RECURSIVE {INDEXED}, {NEAR}, {FUSED}
 SELECT item_id, doc_id, fused.rank AS rank, round(dn.score, 4) AS cosine, round(round(dn.score * round(0.3 + 0.7 * ((doc_id % 29) / 28.0::DOUBLE), 4), 6), 4) AS recency_adj, rrf
 FROM fused LEFT JOIN dn USING (item_id, doc_id)""")
 def score_triple(t):
-    near = overlap_rank(t).withColumnRenamed("score", "cosine")
-    weights = t("documents").select("doc_id", text.recency_weight(F.lit(1998) + F.col("doc_id") % 29).alias("weight"))
-    return r.score_triples(r.fuse(near, r.bm25(t("documents"), t("benchmark"), 10), 5), near, weights)
+    return r.hybrid(*chunk_store(t), 5)
+
+
+@query("""WITH q AS (SELECT vec_id AS item_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT item_id, vec_id AS doc_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM embeddings, q WHERE vec_id <> item_id AND label IN (1, 4, 7))
+SELECT item_id, doc_id, cosine, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS rank FROM p QUALIFY rank <= 20""")
+def filtered_neighbours(t):
+    """The 20 nearest among the labels asked for, which are filtered at the scan."""
+    v = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return r.dense(v, t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), "embedding"), 20, F.col("label").isin(1, 4, 7))
 
 
 @query("""WITH q AS (SELECT vec_id AS item_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
@@ -109,19 +135,9 @@ def tie_bucket_rerank(t):
 
 
 def gold(t):
-    """Documents that contain a question's passage: candidates share the passage's longest inner word, then the text is compared.
-
-    Inner words of a passage are whole words of every text that holds it, so the join loses none.
-    """
-    q = t("benchmark").select("item_id", F.col("text").alias("passage"))
-    d = t("documents").select("doc_id", "text")
-    inner = F.regexp_extract_all("passage", F.lit(r"(?<=[^\p{L}\p{N}_])[\p{L}\p{N}_]+(?=[^\p{L}\p{N}_])"), F.lit(0))
-    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    keyed = q.withColumn("w", longest)
-    words = d.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(text.WORD), F.lit(0)))).alias("w"))
-    joined = words.join(keyed.where("w IS NOT NULL"), "w").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = d.join(keyed.where("w IS NULL"), F.contains("text", "passage")).select("item_id", "doc_id")
-    return joined.unionByName(short).groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
+    """Documents that contain a question's passage."""
+    found = textmatch.containing(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), exact=True)
+    return found.groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
 
 
 @query(f"""WITH {BM25}, {GOLD}, got AS (SELECT item_id, list(doc_id ORDER BY rank) AS got FROM bm GROUP BY item_id),

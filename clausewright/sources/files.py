@@ -11,9 +11,18 @@ YEARS = r"(?:19|20)\d{2}\s*[-–]\s*(?:19|20)\d{2}"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir, or in the warehouse where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/scratch_{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local session that names none uses its warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/scratch_{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: what several plans read is made once, and lost executors cost no more than a file."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
