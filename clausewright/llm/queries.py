@@ -93,7 +93,7 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = substring_dedup.WIDTH
     left = substring_dedup.remove_copied(docs, width=width).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
     text = text_of("text")
-    rows = docs.select("doc_id", *suffix_dedup.keys_of(text)).join(left.hint("merge"), ["k1", "k2"])
+    rows = docs.select("doc_id", *substring_dedup.keys_of(text)).join(left.hint("merge"), ["k1", "k2"])
     copy = (F.coalesce("doc_id", F.lit(substring_dedup.LAST)) != F.col("ord")) & (F.col("n_words") >= width)
     removed = F.when(copy, F.col("n_words")).otherwise(F.col("n_removed"))
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))

@@ -11,9 +11,9 @@ The reference here is the corpus itself, so an automaton of one shard cannot be
 grows with the square of the corpus. Content routes each passage to the one shard that can hold it instead:
 
 1. Equal texts are reduced to one row with their least id. Every window has an anchor, the least hash among its substrings of GRAM
-   words; neighbouring windows with one anchor form a run. Equal windows have equal anchors. Runs of an anchor that occurs once
-   are never sent anywhere.
-2. Runs whose whole span is equal are one class, for which its first run stands; the others are its copies.
+   words; neighbouring windows with one anchor form a run. Equal windows have equal anchors. Anchors are counted, and runs of one that
+   occurs once go no further.
+2. The runs left go back to their texts for a hash of their whole span. Those with equal spans are one class, for which its first run stands; the others are its copies.
 3. The spans of the classes go to tasks by their anchor, in order of place. Anchors side by side, up to PIECE words, are a shard; a task builds its automaton,
    streams the shard's passages through it, and gives for each class the windows that occur earlier, and those that its copies
    repeat. Windows of one anchor are in one shard, so a shard decides about them for all.
@@ -37,11 +37,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, kept_table, release, salted_join, shared_folder, text_of, to_discard, utf8
-from .suffix_dedup import SLICE, _signed, _word_hashes, covered, keys_of, runs_of
+from .suffix_dedup import SLICE, _signed, _word_hashes, covered, runs_of
 
 WIDTH = 20
 GRAM = 8
@@ -49,8 +49,10 @@ PIECE = 40_000  # words of a shard, about
 HOT, MOST = 1000, 40_000
 LAST = (1 << 63) - 1  # stands for a null id
 
-RUN = "anchor bigint, span bigint, ord bigint, k1 bigint, k2 bigint, begin bigint, end bigint, twin boolean"
+RUN = "anchor bigint, k1 bigint, k2 int, begin int, end int, twin boolean"
 _RUN = [c.split()[0] for c in RUN.split(", ")]
+SPAN = "anchor bigint, span bigint, ord bigint, k1 bigint, k2 int, begin int, end int, twin boolean"
+_SPAN = [c.split()[0] for c in SPAN.split(", ")]
 PLACE = ["ord", "k1", "k2", "begin"]
 
 
@@ -138,8 +140,11 @@ def judged(spans: list[bytes], width: int) -> list[tuple[list[tuple[int, int]],
     return out
 
 
-def _columns(rows: list[tuple], names: list[str], **kinds: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+_KINDS = {"k2": pa.int32(), "begin": pa.int32(), "end": pa.int32(), "low": pa.int32(), "high": pa.int32(), "twin": pa.bool_(), "copies": pa.bool_(), "bytes": pa.binary()}
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS.get(n, pa.int64())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
 
 def _spans_of(body: bytes, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> Iterator[bytes]:
@@ -149,24 +154,21 @@ def _spans_of(body: bytes, starts: np.ndarray, ends: np.ndarray, begin: np.ndarr
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The runs of texts (ord, k1, k2, text)."""
+    """The runs of texts (k1, k2, text)."""
 
     def found() -> pa.RecordBatch:
-        at, bodies, symbols, starts, ends = zip(*held, strict=True)
+        at, symbols = zip(*held, strict=True)
         text, begin, end, anchor, twin = runs_of(np.concatenate(symbols), np.array([len(x) for x in symbols]), width, gram)
-        each = np.searchsorted(text, np.arange(len(at) + 1))
-        span = [xxhash.xxh3_64_intdigest(s) for n in range(len(at)) for s in _spans_of(bodies[n], starts[n], ends[n], begin[each[n] : each[n + 1]], end[each[n] : each[n + 1]], width)]
-        keys = [pa.array(c[np.array(at)[text]]) for c in (order, k1, k2)]
-        return pa.RecordBatch.from_arrays([_signed(anchor), _signed(np.array(span, np.uint64)), *keys, pa.array(begin), pa.array(end), pa.array(twin)], names=_RUN)
+        keys = [pa.array(c[np.array(at)[text]]) for c in (k1, k2)]
+        return pa.RecordBatch.from_arrays([_signed(anchor), *keys, pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(twin)], names=_RUN)
 
     for batch in batches:
-        order, k1, k2 = (batch.column(c).to_numpy() for c in range(3))
+        k1, k2 = (batch.column(c).to_numpy() for c in range(2))
         held, size = [], 0
-        for n, raw in enumerate(utf8(batch.column(3))):
+        for n, raw in enumerate(utf8(batch.column(2))):
             words = raw.split()
             if len(words) >= width:
-                body = b" ".join(words)
-                held.append((n, body, *_word_hashes(body)))
+                held.append((n, _word_hashes(b" ".join(words))[0]))
                 size += len(words)
             if size >= SLICE:
                 yield found()
@@ -182,35 +184,49 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(at, 200).to_pylist()
 
 
+def _laid_out(row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a row's text joined by one space, and where each begins and ends."""
+    body = b" ".join(row["text"].encode().split())
+    return body, *_word_hashes(body)[1:]
+
+
+def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Runs, which come beside their texts, with a hash of their spans."""
+    for row in _rows(batches):
+        laid = _laid_out(row)
+        for at in range(0, len(row["runs"]), 4096):
+            runs = row["runs"][at : at + 4096]
+            begin, end = (np.array([r[k] for r in runs]) for k in ("begin", "end"))
+            spans = np.array([xxhash.xxh3_64_intdigest(s) for s in _spans_of(*laid, begin, end, width)], np.uint64).view(np.int64).tolist()
+            yield _columns([(r["anchor"], s, row["ord"], row["k1"], row["k2"], r["begin"], r["end"], r["twin"]) for r, s in zip(runs, spans, strict=True)], _SPAN)
+
+
 def _single(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The windows of runs, each as a run of its own; rows have the runs of a text beside it."""
+    """The windows of runs, which come beside their texts, each as a run of its own."""
     for row in _rows(batches):
-        body = b" ".join(row["text"].encode().split())
-        _, starts, ends = _word_hashes(body)
+        laid = _laid_out(row)
         for r in row["runs"]:
             for low in range(r["begin"], r["end"], 4096):
                 begin = np.arange(low, min(low + 4096, r["end"]))
-                digests = np.array([xxhash.xxh3_128_intdigest(s) >> k & (1 << 64) - 1 for s in _spans_of(body, starts, ends, begin, begin + 1, width) for k in (64, 0)], np.uint64)
-                keys = [pa.array(np.full(len(begin), row[k], np.int64)) for k in ("ord", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays([_signed(digests[::2]), _signed(digests[1::2]), *keys, pa.array(begin), pa.array(begin + 1), pa.array(np.zeros(len(begin), bool))], names=_RUN)
+                digests = [xxhash.xxh3_128_intdigest(s) for s in _spans_of(*laid, begin, begin + 1, width)]
+                halves = [np.array([d >> k & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64).tolist() for k in (64, 0)]
+                yield _columns([(a, b, row["ord"], row["k1"], row["k2"], s, s + 1, False) for a, b, s in zip(*halves, begin.tolist(), strict=True)], _SPAN)
 
 
-SENT = "anchor bigint, span bigint, ord bigint, k1 bigint, k2 bigint, begin bigint, bytes binary"
+SENT = "anchor bigint, span bigint, ord bigint, k1 bigint, k2 int, begin int, bytes binary"
 _SENT = [c.split()[0] for c in SENT.split(", ")]
 
 
 def _sent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        body = b" ".join(row["text"].encode().split())
-        _, starts, ends = _word_hashes(body)
+        laid = _laid_out(row)
         for at in range(0, len(row["runs"]), 2048):
             runs = row["runs"][at : at + 2048]
             begin, end = (np.array([r[k] for r in runs]) for k in ("begin", "end"))
-            spans = _spans_of(body, starts, ends, begin, end, width)
-            yield _columns([(r["anchor"], r["span"], row["ord"], row["k1"], row["k2"], r["begin"], s) for r, s in zip(runs, spans, strict=True)], _SENT, bytes=pa.binary())
+            yield _columns([(r["anchor"], r["span"], row["ord"], row["k1"], row["k2"], r["begin"], s) for r, s in zip(runs, _spans_of(*laid, begin, end, width), strict=True)], _SENT)
 
 
-FOUND = "anchor bigint, span bigint, k1 bigint, k2 bigint, begin bigint, low bigint, high bigint, copies boolean"
+FOUND = "anchor bigint, span bigint, k1 bigint, k2 int, begin int, low int, high int, copies boolean"
 _FOUND = [c.split()[0] for c in FOUND.split(", ")]
 
 
@@ -222,7 +238,7 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, piece: int) -> Iterat
         for (anchor, span, _, k1, k2, begin, _), ranges in zip(held, judged([h[6] for h in held], width), strict=True):
             out += [(anchor, span, k1, k2, begin, low, high, copies) for copies, part in enumerate(ranges) for low, high in part]
         if out:
-            yield _columns([(*r[:7], bool(r[7])) for r in out], _FOUND, copies=pa.bool_())
+            yield _columns([(*r[:7], bool(r[7])) for r in out], _FOUND)
 
     held: list[tuple] = []
     size = 0
@@ -238,9 +254,9 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, piece: int) -> Iterat
         yield from found()
 
 
-def _beside(texts: DataFrame, runs: DataFrame) -> DataFrame:
+def _beside(texts: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
     """Texts with their runs as an array; texts stay in their buckets."""
-    wanted = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "span", "begin", "end")).alias("runs"))
+    wanted = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "begin", "end", *columns)).alias("runs"))
     return texts.select("k1", "k2", "ord", "text").join(wanted.hint("merge"), ["k1", "k2"])
 
 
@@ -256,7 +272,7 @@ def _classes(runs: DataFrame, width: int, hot: int, most: int) -> DataFrame:
 
 def _decided(texts: DataFrame, runs: DataFrame, classes: DataFrame, width: int, piece: int) -> DataFrame:
     """(k1, k2, begin, end): windows of `runs` that occur earlier, by the automata of the classes' shards."""
-    spans = _beside(texts, classes).mapInArrow(lambda it: _sent(it, width), SENT)
+    spans = _beside(texts, classes, "span").mapInArrow(lambda it: _sent(it, width), SENT)
     shards = spans.repartition("anchor").sortWithinPartitions("anchor", *PLACE).mapInArrow(lambda it: _shards(it, width, piece), FOUND)
     found = kept_table(shards)
     lost = found.where("not copies").select("k1", "k2", (F.col("begin") + F.col("low")).alias("begin"), (F.col("begin") + F.col("high")).alias("end"))
@@ -270,18 +286,27 @@ def _decided(texts: DataFrame, runs: DataFrame, classes: DataFrame, width: int,
 
 def earlier(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, most: int = MOST, piece: int = PIECE) -> DataFrame:
     """(k1, k2, begin, end): ranges of words at which windows of `texts` (ord, k1, k2, text) start that also start earlier."""
-    runs = kept_table(texts.select("ord", "k1", "k2", "text").mapInArrow(lambda it: _runs(it, width, gram), RUN))
+    runs = kept_table(texts.select("k1", "k2", "text").mapInArrow(lambda it: _runs(it, width, gram), RUN))
+    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("twin").alias("twin")).where("n > 1 or twin").select("anchor")
+    runs = runs.join(again.hint("merge"), "anchor", "left_semi")
+    runs = kept_table(_beside(texts, runs, "twin").mapInArrow(lambda it: _named(it, width), SPAN))
+    release(texts.sparkSession)
     classes = _classes(runs, width, hot, most)
     first = _decided(texts, runs, classes.where("not hot"), width, piece)
     # of a hot class only the first run is looked into; what copies hold occurs there
     firsts = classes.where("hot and n > 1").select("anchor", "span", F.struct("k1", "k2", "begin").alias("one"))
     copied = salted_join(runs.select("anchor", "span", "k1", "k2", "begin", "end"), firsts, ["anchor", "span"], "k1")
     copied = copied.where(F.struct("k1", "k2", "begin") != F.col("one")).select("k1", "k2", "begin", "end")
-    single = kept_table(_beside(texts, classes.where("hot")).mapInArrow(lambda it: _single(it, width), RUN))
+    single = kept_table(_beside(texts, classes.where("hot"), "span").mapInArrow(lambda it: _single(it, width), SPAN))
     second = _decided(texts, single, _classes(single, width, LAST, LAST), width, piece)
     return kept_table(first.unionByName(copied).unionByName(second))
 
 
+def keys_of(text: Column) -> list[Column]:
+    """A 64-bit and a 32-bit hash of a text: its key."""
+    return [F.xxhash64(text).alias("k1"), F.hash(F.lit(1), text, F.lit(2)).alias("k2")]
+
+
 def _distinct(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, ord, text), one row a text with its least id, kept in the shared folder in buckets of both keys."""
     spark = df.sparkSession
@@ -295,7 +320,7 @@ def _distinct(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-KEPT = "k1 bigint, k2 bigint, ord bigint, n_words bigint, n_removed bigint, kept binary"
+KEPT = "k1 bigint, k2 int, ord bigint, n_words bigint, n_removed bigint, kept binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

@@ -183,11 +183,9 @@ def plain_removal(rows, width):
 
 
 def _removed(spark, rows, **kinds):
-    from clausewright.llm.suffix_dedup import keys_of
-
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, k1 int, ord string").repartition(3)
     left = substring_dedup.remove_copied(df, **kinds)
-    got = df.select("doc_id", "text", *[c.alias(n) for c, n in zip(keys_of(F.coalesce("text", F.lit(""))), ("a", "b"), strict=True)]).join(left.withColumnsRenamed({"k1": "a", "k2": "b"}), ["a", "b"]).collect()
+    got = df.select("doc_id", "text", *[c.alias(n) for c, n in zip(substring_dedup.keys_of(F.coalesce("text", F.lit(""))), ("a", "b"), strict=True)]).join(left.withColumnsRenamed({"k1": "a", "k2": "b"}), ["a", "b"]).collect()
     assert len(got) == len(rows)
     width = kinds.get("width", 20)
     first = lambda r: (r.doc_id if r.doc_id is not None else substring_dedup.LAST) == r.ord or r.n_words < width
