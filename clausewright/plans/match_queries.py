@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import retrieval, textmatch
+from ..operators import retrieval, textindex, textmatch
+from ..sources.files import kept, scratch
 from .registry import query
-from .retrieval_queries import BM25, GOLD, TOK, gold
+from .retrieval_queries import BM25, FUSED, GOLD, INDEXED, NEAR, TOK, chunk_store, gold
 
 BARE = "regexp_replace(lower({}), '^\\s+|\\s+$', '', 'g')"
 CHUNKS = "chunks AS (SELECT doc_id, lower(text) AS c FROM documents)"
@@ -44,3 +45,32 @@ def zero_metric_repair(t):
     lost = (metrics.reciprocal_rank(got, want) == 0) & (metrics.ndcg_at(got, want, 5) == 0)
     new = textmatch.rescued(rows.withColumn("before", got), sources, t("documents").select("doc_id", "text"), lost)
     return new.select("item_id", (got != F.col("before")).alias("repaired"), metrics.reciprocal_rank(got, want).alias("mrr"), metrics.recall_at(got, want, 5).alias("recall_5"))
+
+
+@query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm")
+def bm25_index_topk(t):
+    """The lists of `bm25_topk` from a stored index."""
+    spark = t("documents").sparkSession
+    index = textindex.Index(spark, scratch(spark))
+    textindex.append(index, t("documents"))
+    return textindex.search(index, t("benchmark"), 10)
+
+
+@query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm")
+def bm25_index_append(t):
+    """The same from an index to which every source was added in turn, the last one twice."""
+    docs = t("documents")
+    index = textindex.Index(docs.sparkSession, scratch(docs.sparkSession))
+    kind = F.pmod(F.xxhash64("source"), F.lit(2))
+    for part in (docs.where(kind == 0), docs.where((kind != 0) | F.col("source").isNull()), docs):
+        textindex.append(index, part)
+    return textindex.search(index, t("benchmark"), 10)
+
+
+@query(f"WITH RECURSIVE {INDEXED}, {NEAR}, {FUSED} SELECT item_id, doc_id, rrf, rank FROM fused")
+def hybrid_resume(t):
+    """Retrieval that stopped after the even questions, taken up again."""
+    chunks, questions = chunk_store(t)
+    find = lambda q: retrieval.hybrid(chunks, q, 5).select("item_id", "doc_id", "rrf", "rank")
+    stored = kept(find(questions.where("item_id % 2 = 0")))
+    return textindex.resumed(questions, stored, find)
