@@ -82,6 +82,18 @@ def kept_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`new`, kept as a table, in place of the kept table `old` that it is made from and that nothing else needs."""
+    spark = old.sparkSession
+    folders = {f.rpartition("/")[0] for f in old.inputFiles()}
+    kept = kept_table(new)
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    release(spark)
+    return kept
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files now."""
     gc.collect()

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, kept_table, release, salted_join, shared_folder, text_of, to_discard, utf8
+from .common import cut_lineage, kept_table, release, replaced, salted_join, shared_folder, text_of, to_discard, utf8
 from .suffix_dedup import SLICE, _signed, _word_hashes, covered, runs_of
 
 WIDTH = 20
@@ -267,7 +267,9 @@ def _classes(runs: DataFrame, width: int, hot: int, most: int) -> DataFrame:
     kinds, words = F.count(F.lit(1)), F.sum(F.col("one.end") - F.col("one.begin") + width - 1)
     sizes = classes.groupBy("anchor").agg((F.sum("n") > 1).alias("again"), ((kinds > hot) | (words > most)).alias("hot"))
     wanted = classes.join(sizes.hint("merge"), "anchor").where("again or twin or hot")
-    return cut_lineage(wanted.select("anchor", "span", "n", "one.*", "hot"))
+    kept = cut_lineage(wanted.select("anchor", "span", "n", "one.*", "hot"))
+    release(runs.sparkSession)
+    return kept
 
 
 def _decided(texts: DataFrame, runs: DataFrame, classes: DataFrame, width: int, piece: int) -> DataFrame:
@@ -288,9 +290,8 @@ def earlier(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     """(k1, k2, begin, end): ranges of words at which windows of `texts` (ord, k1, k2, text) start that also start earlier."""
     runs = kept_table(texts.select("k1", "k2", "text").mapInArrow(lambda it: _runs(it, width, gram), RUN))
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("twin").alias("twin")).where("n > 1 or twin").select("anchor")
-    runs = runs.join(again.hint("merge"), "anchor", "left_semi")
-    runs = kept_table(_beside(texts, runs, "twin").mapInArrow(lambda it: _named(it, width), SPAN))
-    release(texts.sparkSession)
+    repeated = runs.join(again.hint("merge"), "anchor", "left_semi")
+    runs = replaced(runs, _beside(texts, repeated, "twin").mapInArrow(lambda it: _named(it, width), SPAN))
     classes = _classes(runs, width, hot, most)
     first = _decided(texts, runs, classes.where("not hot"), width, piece)
     # of a hot class only the first run is looked into; what copies hold occurs there
