@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import loop, retrieval
 from ..sources import files
-from ..streaming import incremental
+from ..streaming import buckets, incremental
 from .registry import ORACLE, QUERIES, query
 
 
@@ -74,7 +72,9 @@ def rewrite_batches(t):
 
 def _incremental(spark, sf_dir):
     source = incremental.file_stream(spark, f"{sf_dir}/events.parquet", ["event_id", "user_id", "event_type", "value"])
-    return spark.read.parquet(incremental.upsert_stream(spark, source, ["user_id", "event_type"], "event_id", files.scratch(spark)))
+    keys, path = ["user_id", "event_type"], files.scratch(spark)
+    buckets.merge_stream(source, keys, buckets.upsert(keys, "event_id"), path)
+    return buckets.ledger(spark, path, source.schema)
 
 
 QUERIES["incremental_upsert_stream"] = _incremental
@@ -83,7 +83,7 @@ ORACLE["incremental_upsert_stream"] = "SELECT event_id, user_id, event_type, val
 
 def _running(spark, sf_dir):
     source = incremental.file_stream(spark, f"{sf_dir}/events.parquet", ["event_type", "value"])
-    return incremental.running_means(source, "event_type", "value", f"running_{uuid.uuid4().hex}")
+    return buckets.running_means(source, "event_type", "value", files.scratch(spark))
 
 
 QUERIES["running_means_stream"] = _running
