@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import token_set
+from . import retrieval
+
 
 def overlaps(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item_id, doc_id, overlap): share of a question's token set (column s) in a chunk's, by an equi-join on tokens."""
@@ -45,3 +48,25 @@ def expanded(best: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFr
     out = rows.select("item_id", "doc_id", choice.alias("x"))
     score = -F.col("x.score")
     return out.select("item_id", "doc_id", F.col("x.name").alias("how"), score.alias("score"), (F.round(100 * score) >= 80).alias("accepted"))
+
+
+def finder(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """(item_id, doc_id, overlap, accepted): the chunk that holds most of an expected answer's tokens, the first on ties.
+
+    questions: item_id, expected, language, article, embedding; chunks: doc_id, language, article_number, text, embedding. A question
+    with an article is held against the chunks of that article and language, one without against the k nearest of its language.
+    """
+    named = F.trim(F.coalesce(F.col("article").cast("string"), F.lit(""))) != ""
+    q = questions.withColumn("named", named)
+    by_article = q.where("named").select("item_id", "language", F.trim(F.col("article").cast("string")).alias("article_number")).join(chunks.select("doc_id", "language", "article_number"), ["language", "article_number"])
+    pairs = by_article.select("item_id", "doc_id")
+    rest = q.where(~F.col("named"))
+    for row in rest.select("language").distinct().collect():  # languages
+        mine = F.col("language") == row["language"]
+        pairs = pairs.unionByName(retrieval.dense(chunks, rest.where(mine), k, mine, same=True).select("item_id", "doc_id"))
+    expected = questions.select("item_id", token_set(F.col("expected")).alias("_e"))
+    scored = pairs.join(chunks.select("doc_id", token_set(F.col("text")).alias("_c")), "doc_id").join(expected, "item_id")
+    share = F.when(F.size("_e") > 0, F.round(F.size(F.array_intersect("_e", "_c")) / F.size("_e"), 6)).otherwise(0.0)
+    w = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
+    best = scored.select("item_id", "doc_id", share.alias("overlap")).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return best.withColumn("accepted", F.round(100 * F.col("overlap")) >= 80)

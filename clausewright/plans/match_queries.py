@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions.text import recency_weight
+from ..operators import gold as g
 from ..operators import retrieval, textindex, textmatch
+from ..sources import chunk_store as store
 from ..sources.files import kept, scratch
 from .registry import query
 from .retrieval_queries import BM25, FUSED, GOLD, INDEXED, NEAR, TOK, chunk_store, gold
@@ -74,3 +77,45 @@ def hybrid_resume(t):
     find = lambda q: retrieval.hybrid(chunks, q, 5).select("item_id", "doc_id", "rrf", "rank")
     stored = kept(find(questions.where("item_id % 2 = 0")))
     return textindex.resumed(questions, stored, find)
+
+
+def _stored(t):
+    """Documents and their vectors written to a chunk store, French ones then again with another text."""
+    d = t("documents")
+    path = scratch(d.sparkSession)
+    rows = d.join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("language"), (F.col("doc_id") % 7).cast("string").alias("article_number"), "text", "embedding",
+        recency_weight(F.lit(1998) + F.col("doc_id") % 29).alias("recency_weight"), F.col("n_chars").cast("int").alias("token_count"),
+    )
+    store.write(rows, path)
+    store.write(rows.where("language = 'fr'").withColumn("text", F.concat(F.lit("fr: "), "text")), path)
+    store.upsert(d.sparkSession, rows.where("chunk_id = '3'").withColumn("text", F.lit("three")), path)
+    return path
+
+
+@query("""SELECT doc_id::VARCHAR AS chunk_id, lang AS language, (doc_id % 7)::VARCHAR AS article_number, md5(CASE WHEN doc_id = 3 THEN 'three' WHEN lang = 'fr' THEN 'fr: ' || text ELSE text END) AS body,
+round(0.3 + 0.7 * ((doc_id % 29) / 28.0::DOUBLE), 4) AS recency_weight, coalesce(len(embedding), 0)::INTEGER AS dim FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE lang IS NOT NULL""")
+def chunk_store_round_trip(t):
+    rows = store.read(t("documents").sparkSession, _stored(t))
+    return rows.select("chunk_id", "language", "article_number", F.md5("text").alias("body"), "recency_weight", F.greatest(F.size("embedding"), F.lit(0)).alias("dim"))
+
+
+@query("SELECT lang AS language, count(*) AS n, min(doc_id) AS first FROM documents WHERE lang IN ('fr', 'en') AND doc_id % 7 IN (2, 5) GROUP BY lang")
+def chunk_store_filters(t):
+    rows = store.read(t("documents").sparkSession, _stored(t), languages=["fr", "en"], articles=["2", "5"])
+    return rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("chunk_id").cast("bigint")).alias("first"))
+
+
+@query(f"""WITH q AS (SELECT b.item_id, b.text, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, CASE WHEN item_id % 3 = 0 THEN item_id % 7 END AS article, embedding AS v FROM benchmark b JOIN embeddings ON vec_id = item_id),
+c AS (SELECT doc_id, lang, doc_id % 7 AS article, text, embedding AS v FROM documents JOIN embeddings ON vec_id = doc_id),
+near AS (SELECT item_id, doc_id FROM q JOIN c USING (lang) WHERE q.article IS NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(q.v::DOUBLE[], c.v::DOUBLE[]), 6) DESC, doc_id) <= 20),
+pairs AS (SELECT item_id, doc_id FROM near UNION ALL SELECT item_id, doc_id FROM q JOIN c USING (lang, article)),
+o AS (SELECT item_id, doc_id, round(len(list_intersect({TOK.format('q.text')}, {TOK.format('c.text')}))::DOUBLE / len(list_distinct({TOK.format('q.text')})), 6) AS overlap FROM pairs JOIN q USING (item_id) JOIN c USING (doc_id))
+SELECT item_id, doc_id, overlap, round(100 * overlap) >= 80 AS accepted FROM o QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) = 1""")
+def gold_finder_routes(t):
+    """By article and language where a question names an article, else among the 20 nearest of its language."""
+    v = t("embeddings").select("vec_id", "embedding")
+    i = F.col("item_id")
+    q = t("benchmark").join(v, i == F.col("vec_id")).select("item_id", F.col("text").alias("expected"), F.when(i % 2 == 0, "en").otherwise("fr").alias("language"), F.when(i % 3 == 0, i % 7).alias("article"), "embedding")
+    c = t("documents").join(v, F.col("doc_id") == F.col("vec_id")).select("doc_id", F.col("lang").alias("language"), (F.col("doc_id") % 7).cast("string").alias("article_number"), "text", "embedding")
+    return g.finder(q, c)
