@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import metrics
+from ..functions import lexical, metrics
 from ..functions.text import recency_weight
 from ..operators import gold as g
 from ..operators import retrieval, textindex, textmatch
 from ..sources import chunk_store as store
 from ..sources.files import kept, scratch
 from .registry import query
-from .retrieval_queries import BM25, FUSED, GOLD, INDEXED, NEAR, TOK, chunk_store, gold
+from .retrieval_queries import BM25, FUSED, GOLD, INDEXED, NEAR, PAIRS, TOK, chunk_store, gold, pairs
 
 BARE = "regexp_replace(lower({}), '^\\s+|\\s+$', '', 'g')"
 CHUNKS = "chunks AS (SELECT doc_id, lower(text) AS c FROM documents)"
@@ -119,3 +119,26 @@ def gold_finder_routes(t):
     q = t("benchmark").join(v, i == F.col("vec_id")).select("item_id", F.col("text").alias("expected"), F.when(i % 2 == 0, "en").otherwise("fr").alias("language"), F.when(i % 3 == 0, i % 7).alias("article"), "embedding")
     c = t("documents").join(v, F.col("doc_id") == F.col("vec_id")).select("doc_id", F.col("lang").alias("language"), (F.col("doc_id") % 7).cast("string").alias("article_number"), "text", "embedding")
     return g.finder(q, c)
+
+
+ASCII = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+def _rouge_sql() -> str:
+    """Counts of n-grams a side, and twice what both share over what they have."""
+    parts = []
+    for n in (1, 2):
+        m = n - 1
+        parts.append(f"g{n} AS (SELECT conv_id, turn, side, g, count(*) AS c FROM (SELECT conv_id, turn, side, unnest(list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(w[i:i + {m}], ' '))) AS g FROM sides WHERE len(w) > {m}) GROUP BY ALL)")
+        parts.append(f"t{n} AS (SELECT conv_id, turn, sum(c) AS total FROM g{n} GROUP BY ALL)")
+        parts.append(f"h{n} AS (SELECT conv_id, turn, sum(least(a.c, b.c)) AS hits FROM g{n} a JOIN g{n} b USING (conv_id, turn, g) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL)")
+    joins = " ".join(f"LEFT JOIN t{n} USING (conv_id, turn) LEFT JOIN h{n} USING (conv_id, turn)" for n in (1, 2))
+    columns = ", ".join(f"coalesce(round(2.0::DOUBLE * hits / total, 4), 0) AS rouge_{n}".replace("hits", f"h{n}.hits").replace("total", f"t{n}.total") for n in (1, 2))
+    sides = f"sides AS (SELECT conv_id, turn, 0 AS side, {ASCII.format('p')} AS w FROM pairs UNION ALL SELECT conv_id, turn, 1, {ASCII.format('r')} FROM pairs)"
+    return f"WITH {PAIRS}, {sides}, {', '.join(parts)} SELECT conv_id, turn, {columns} FROM pairs {joins}"
+
+
+@query(_rouge_sql())
+def rouge_overlap(t):
+    """ROUGE-1 and ROUGE-2 of a turn and the next one, without stems, in Column expressions."""
+    p, q = lexical.ascii_tokens(F.col("p")), lexical.ascii_tokens(F.col("r"))
+    return pairs(t).select("conv_id", "turn", lexical.rouge(p, q, 1).alias("rouge_1"), lexical.rouge(p, q, 2).alias("rouge_2"))
