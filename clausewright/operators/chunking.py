@@ -16,6 +16,11 @@ DIVIDER = r"(?i)^(?:PART|SECTION|SCHEDULE|APPENDIX|ANNEXE|PARTIE)[\s ]+[IVX\d]+
 ARTICLE = r"^(?:ARTICLE|Article)[\s ]+(\d{1,3})[\s .\-–—:]*([A-ZÀ-ÿ][^\n]*)?$"
 CLAUSE = r"^(\d{1,3}(?:\.\d+)+(?:\([a-zA-Z0-9]+\))?)[\s .\-–—:]+(.+)?$"
 
+#: The anchored variant's marks.
+PAGE_MARK = r"^<<<PAGE:(\d+)>>>"
+ANCHORED_ARTICLE = r"(?i)^ARTICLE\s+(\d{1,3})\b"
+ANCHORED_CLAUSE = r"(?i)^(\d{1,3}(?:\.\d+)+(?:\([a-z]+\))?)\b"
+
 _CLAUSE_TYPE = "struct<article:string,clause:string,title:string,page:int,text:string>"
 _STATE = f"struct<article:string,clause:string,title:string,page:int,buffer:array<string>,out:array<{_CLAUSE_TYPE}>>"
 
@@ -57,6 +62,50 @@ def segment(text: Column) -> Column:
     return F.aggregate(F.split(text, r"\r\n|\r|\n"), start, step, flushed)
 
 
+def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n, line): a text's lines, numbered."""
+    return docs.select(doc, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "line"))
+
+
+def segmented(lines: DataFrame, doc: str = "doc_id", anchored: bool = False) -> DataFrame:
+    """(doc, ord, article, clause, title, page, text): the clauses of documents given as lines (doc, n, line), in time linear in the lines.
+
+    The rules are those of `segment`. Marks are found line by line; what is in force at a line is the last mark before it, clauses are
+    numbered by a running count of the lines that open one, and one grouping joins their lines. `anchored` takes page marks
+    of the form <<<PAGE:n>>> at the start of a line only, articles and clauses by their number alone, whatever follows; articles leave the title as it is, and
+    blank lines stay in the text. A null line is blank.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    line = F.coalesce("line", F.lit(""))
+    marks = lines.select(doc, "n", line.alias("line"), strip(line).alias("bare"))
+    page_at, page = (F.col("line"), PAGE_MARK) if anchored else (F.col("bare"), PAGE)
+    article, clause = (ANCHORED_ARTICLE, ANCHORED_CLAUSE) if anchored else (ARTICLE, CLAUSE)
+    some = lambda c: F.when(c != "", c)
+    kind = F.when(F.col("bare") == "", "blank").when(page_at.rlike(page), "page").when(F.col("bare").rlike(DIVIDER), "divider").when(F.col("bare").rlike(article), "article").when(F.col("bare").rlike(clause), "clause").otherwise("text")
+    marks = marks.withColumn("kind", kind)
+    is_ = lambda k: F.col("kind") == k
+    number = F.regexp_extract("bare", clause, 1)
+    named = F.lit(None).cast("string") if anchored else some(F.trim(F.regexp_extract("bare", ARTICLE, 2)))
+    so_far = Window.partitionBy(doc).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    rows = marks.withColumns({
+        "article": F.coalesce(last(F.when(is_("article"), F.regexp_extract("bare", article, 1))), F.lit("0")),
+        "title": F.coalesce(last(F.when(is_("divider"), F.col("bare")).when(is_("article"), named)), F.lit("PREAMBLE")),
+        "page": F.coalesce(last(F.when(is_("page"), F.regexp_extract(page_at, page, 1).try_cast("int"))), F.lit(1)),
+    })
+    extends = is_("clause") & F.startswith(number, F.concat("article", F.lit(".")))
+    dotted = F.regexp_replace(F.regexp_replace(number, r"\(([^)]*)\)", ".$1"), r"^[ .]+|[ .]+$", "")
+    rows = rows.withColumn("opens", is_("article") | extends)
+    rows = rows.withColumns({"part": F.sum(F.col("opens").cast("int")).over(so_far), "clause": F.coalesce(last(F.when(is_("article"), F.col("article")).when(F.col("opens"), dotted)), F.lit("0"))})
+    kept = F.collect_list(F.when(F.lit(anchored) | ~is_("blank"), F.struct("n", "line")))  # of one clause
+    at_end = [F.max_by(c, "n").alias(c) for c in ("article", "clause", "title", "page")]
+    whole = rows.groupBy(doc, "part").agg(F.array_sort(kept).alias("x"), *at_end)
+    text = strip(F.regexp_replace(F.array_join(F.transform("x", lambda v: v["line"]), "\n"), PAGE_MARK.removeprefix("^") if anchored else PAGE, ""))
+    whole = whole.withColumn("text", text).where("text <> ''")
+    order = F.row_number().over(Window.partitionBy(doc).orderBy("part")) - 1
+    return whole.select(doc, order.alias("ord"), "article", "clause", "title", "page", "text")
+
+
 def merge_short(clauses: DataFrame, doc: str = "doc_id", place: str = "ord", least: int = 30) -> DataFrame:
     """Short clauses go to the next long one, the last short ones to the last long one; documents of short ones only vanish.
 

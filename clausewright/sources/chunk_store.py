@@ -68,8 +68,8 @@ def ingest(documents: DataFrame, embed: Callable[[Column], Column] | None = None
     `embed` makes a column of vectors from one of texts, such as a pandas UDF over a model; without it vectors are null.
     """
     stem = file_stem(F.col("source"))
-    docs = documents.select("language", stem.alias("doc_id"), F.posexplode(chunking.segment(F.col("text"))).alias("ord", "c"))
-    clauses = docs.select(F.struct("language", "doc_id").alias("doc_id"), "ord", "c.*").withColumn("tokens", token_count(F.col("text")))
+    docs = documents.select(F.struct("language", stem.alias("doc_id")).alias("doc_id"), "text")
+    clauses = chunking.segmented(chunking.lines_of(docs)).withColumn("tokens", token_count(F.col("text")))
     merged = chunking.merge_short(clauses.select("doc_id", "ord", "text", "page", "tokens", F.struct("article", "clause", "title").alias("clause")), least=least)
     parts = chunking.split_long(F.col("text"), most)
     rows = merged.select("doc_id", "gid", "clause", "page", F.posexplode(F.arrays_zip(parts.alias("text"), chunking.part_ids(F.col("clause.clause"), parts).alias("clause_id"))).alias("n", "p"))
