@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import blank
 
+PHRASE_BYTES = 1 << 25  # characters of an automaton's phrases
+
 
 def group_means(df: DataFrame, by: str, metric: str) -> DataFrame:
     """Mean by group without blank groups and empty means."""
@@ -113,18 +119,51 @@ def error_class(cited: Column, same_edition: Column, other_edition: Column) -> C
     return F.when(F.size(cited) == 0, "none").when(F.arrays_overlap(cited, same_edition), "same").when(F.arrays_overlap(cited, other_edition), "other").otherwise("unknown")
 
 
+def phrase_hits(texts: DataFrame, phrases: DataFrame, limit: int = PHRASE_BYTES) -> DataFrame:
+    """(doc_id, word) for each of the phrases (word) that a text (doc_id, text) contains, any number of them.
+
+    Phrases are one pattern automaton, which a task lays over its texts character by character, once; where they have more than `limit` characters they are
+    dealt to several automata by hash, each with a pass of its own.
+    """
+    phrases = phrases.select("word").where("word <> ''").distinct()
+    size = phrases.agg(F.sum(F.length("word"))).first()[0] or 0
+    blocks = max(1, -(-size // limit))
+    sc = texts.sparkSession.sparkContext
+
+    def found(block: int) -> DataFrame:
+        words = [r["word"] for r in phrases.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block).collect()]  # of about `limit` characters
+        sent = sc.broadcast(words)
+        kind = texts.schema["doc_id"].dataType.simpleString()
+        return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _phrases(it, sent), f"doc_id {kind}, word string")
+
+    out = found(0)
+    for block in range(1, blocks):
+        out = out.unionByName(found(block))
+    return out
+
+
+def _phrases(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    import ahocorasick
+
+    words = ahocorasick.Automaton()
+    for w in sent.value:
+        words.add_word(w, w)
+    if sent.value:
+        words.make_automaton()
+    for batch in batches:
+        hits = [sorted({w for _, w in words.iter(t)}) if sent.value else [] for t in batch.column(1).to_pylist()]
+        at = np.repeat(np.arange(batch.num_rows), [len(h) for h in hits])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([w for h in hits for w in h], pa.string())], names=["doc_id", "word"])
+
+
 def keyword_category(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(doc_id, category, score): phrases count 2, words 1; the highest sum wins, ties alphabetically.
 
-    Single words meet texts by token; phrases, a list of constants, are looked up in the text, a hundred at a time.
+    Single words meet texts by token; phrases are found in the text by `phrase_hits`, and meet their categories by a join.
     """
-    single = keywords.where("NOT contains(word, ' ')")
-    phrases = [(r["category"], r["word"]) for r in keywords.where("contains(word, ' ')").collect()]  # a lookup list
+    single, phrases = keywords.where("NOT contains(word, ' ')"), keywords.where("contains(word, ' ')")
     hits = texts.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(single, "word").select("doc_id", "category", F.lit(1).alias("w"))
-    for at in range(0, len(phrases), 100):
-        pairs = F.array(*(F.when(F.contains("text", F.lit(w)), F.lit(c)) for c, w in phrases[at : at + 100]))
-        more = texts.select("doc_id", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("category")).withColumn("w", F.lit(2))
-        hits = hits.unionByName(more)
+    hits = hits.unionByName(phrase_hits(texts, phrases).join(phrases, "word").select("doc_id", "category", F.lit(2).alias("w")))
     sums = hits.groupBy("doc_id", "category").agg(F.sum("w").alias("score"))
     best = sums.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "category")).alias("b"))
     return best.select("doc_id", F.col("b.category").alias("category"), (-F.col("b.s")).alias("score"))

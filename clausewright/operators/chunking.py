@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
+from ..sources.files import kept
 
 #: How pages, dividers, articles and clauses are marked.
 PAGE = r"(?i)page(?:[\s ]*[-_]+[\s ]*|[\s ]+)?(\d+)"
@@ -146,6 +147,20 @@ def part_ids(clause: Column, parts: Column) -> Column:
 
 
 def neighbours(chunks: DataFrame, place: str = "chunk_index") -> DataFrame:
-    """Previous and next chunk by position within (language, source)."""
-    w = Window.partitionBy("lang", "source").orderBy(place, "doc_id")
-    return chunks.withColumns({"prev_id": F.lag("doc_id").over(w), "next_id": F.lead("doc_id").over(w)})
+    """Previous and next chunk by position within (language, source).
+
+    Chunks are sorted into ranges of about one size, whatever their source; each range looks to its own rows, and the first and
+    last row of a range to those of the ranges beside it. Only these border rows, two a range, are brought together.
+    """
+    keys = ["lang", "source", place, "doc_id"]
+    lead = ["_range", *chunks.columns]
+    ranged = kept(chunks.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).select(*lead))
+    key = F.struct(F.col("lang").alias("l"), F.col("source").alias("s"), F.col(place).alias("p"), F.col("doc_id").alias("d"))
+    borders = ranged.groupBy("_range").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    beside = Window.orderBy("_range")  # a row a range
+    borders = borders.select("_range", F.lag("high").over(beside).alias("_before"), F.lead("low").over(beside).alias("_after"))
+    w = Window.partitionBy("_range").orderBy(*keys)
+    rows = ranged.withColumn("_key", key).withColumns({"_p": F.lag("_key").over(w), "_n": F.lead("_key").over(w)}).join(borders, "_range")
+    near = lambda own, other: F.coalesce(F.col(own), F.col(other))
+    same = lambda x: F.when(x["l"].eqNullSafe(F.col("lang")) & x["s"].eqNullSafe(F.col("source")), x["d"])
+    return rows.select(*chunks.columns, same(near("_p", "_before")).alias("prev_id"), same(near("_n", "_after")).alias("next_id"))

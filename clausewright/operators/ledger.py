@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import TRUE_ONE, answered, blank, filled, number, truthy
+from ..functions.text import resolve_language
 
 
 def migrate(df: DataFrame, columns: list[str], default: str | None = "") -> DataFrame:
@@ -57,6 +60,40 @@ def sync(left: DataFrame, right: DataFrame, keys: list[str], shared: list[str])
     return both.select(*keys, *(filled(F.col(c), F.col(f"_{c}")).alias(c) for c in shared), origin.alias("origin"))
 
 
+def two_way(left: DataFrame, right: DataFrame, keys: list[str], shared: list[str], mirrors: dict[str, str], question: str = "question_id", language: str = "language") -> tuple[DataFrame, Observation]:
+    """Both ledgers made whole from each other, and the counters of what was done.
+
+    A row a key: the shared columns of the left side, of the right side (r_...), the right side's mirrors, and `origin`. Blank cells are filled from the
+    other side, missing rows made from it, languages normalised on both with the question's id as the witness, and blank mirrors filled from
+    their source. The counters (filled_left, filled_right, added_left, added_right, language_fixed, rows) come from the same pass: they are
+    there once an action has run over the rows. Ledgers have one row a key.
+    """
+    a = left.select(*keys, *(F.col(c).alias(f"_l_{c}") for c in shared), F.lit(True).alias("_l"))
+    b = right.select(*keys, *(F.col(c).alias(f"_r_{c}") for c in (*shared, *mirrors)), F.lit(True).alias("_r"))
+    both = a.join(b, keys, "full_outer").withColumn("origin", F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both"))
+    paired = F.col("origin") == "both"
+    l, r = (lambda c: F.col(f"_l_{c}")), (lambda c: F.col(f"_r_{c}"))
+    fill = lambda x, y: F.when(blank(x) & ~blank(y), y).otherwise(x)
+    fills = {side: sum(((paired & blank(x(c)) & ~blank(y(c))).cast("int") for c in shared), F.lit(0)) for side, x, y in (("left", l, r), ("right", r, l))}
+    whole = both.withColumns({f"_fill_{k}": v for k, v in fills.items()})
+    for c in shared:
+        first, second = F.when(F.col("_l").isNull(), r(c)).otherwise(fill(l(c), r(c))), F.when(F.col("_r").isNull(), l(c)).otherwise(fill(r(c), l(c)))
+        whole = whole.withColumns({c: first, f"r_{c}": second})
+    fixed = {c: resolve_language(F.coalesce(c, F.lit("")), F.col(question)) for c in (language, f"r_{language}")} if language in shared else {}
+    changed = ~F.coalesce(F.col(language), F.lit("")).eqNullSafe(fixed[language]) if fixed else F.lit(False)
+    whole = whole.withColumn("_fixed", changed).withColumns(fixed)
+    own = lambda c: F.col(f"r_{c}") if c in shared else F.col(c)
+    whole = whole.withColumns({f"r_{m}": fill(r(m), own(source)) for m, source in mirrors.items()})
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    counters = Observation(f"two_way_{uuid.uuid4().hex}")
+    added = {side: count(F.col("origin") == other) for side, other in (("left", "right"), ("right", "left"))}
+    whole = whole.observe(
+        counters, count(F.col("_fill_left")).alias("filled_left"), count(F.col("_fill_right")).alias("filled_right"), added["left"].alias("added_left"),
+        added["right"].alias("added_right"), count(F.col("_fixed")).alias("language_fixed"), F.count(F.lit(1)).alias("rows"),
+    )
+    return whole.select(*keys, *shared, *(f"r_{c}" for c in (*shared, *mirrors)), "origin"), counters
+
+
 def reuse(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Copy the source's non-blank cells by key; rows without a match stay as they are."""
     s = source.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int = 42) -> DataFrame:
-    """`quota` rows of each stratum in the order of a hash of the seed and the key."""
+    """`quota` rows of each stratum in the order of a hash of the seed and the key.
+
+    The largest quota is looked up first. As a constant it lets every task drop what is beyond it in a stratum before the shuffle, and
+    again after it, so a large stratum reaches its task as that many rows from each of the others.
+    """
+    most = df.select(F.max(quota.cast("bigint"))).first()[0] or 0
     order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    return df.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= quota)
+    return df.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= F.lit(int(most))).where(F.col("pick") <= quota)
 
 
 def disjoint(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:

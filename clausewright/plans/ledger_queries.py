@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import truthy
 from ..operators import ledger as g
+from ..sources.files import kept
 from .registry import query
 
 LEDGER = """led AS (SELECT event_id AS ord, 'q' || (event_id % 400) AS qid, event_type AS model, (event_id * 13 % 5)::VARCHAR AS attempts,
@@ -179,3 +180,36 @@ def dedup_best_retrieval(t):
     rows = t("events").select("event_id", "user_id", "event_type", F.when(i % 4 == 0, "").otherwise((i % 3).cast("string")).alias("source1_rrf_score"), (i % 2).alias("source2_recency_adjusted_cosine_score"))
     rows = rows.withColumns({"grounded": F.when(i % 5 == 0, " True").when(i % 5 == 1, "1").otherwise("no"), "answer": F.when(i % 7 < 4, "text").when(i % 7 == 4, "Error").when(i % 7 == 5, "nan"), "attempts": F.when(i % 6 > 0, (i % 6).cast("string")).otherwise("?")})
     return g.keep_best_retrieval(rows, ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type")
+
+
+TWO_WAY = """l AS (SELECT doc_id, 'test_' || lang || '_' || doc_id AS question_id, CASE WHEN doc_id % 3 = 0 THEN 'nan' ELSE source END AS answer, CASE doc_id % 4 WHEN 0 THEN 'English' WHEN 1 THEN '' ELSE lang END AS language FROM documents),
+r AS (SELECT doc_id + 100 AS doc_id, 'test_en_' || (doc_id + 100) AS question_id, CASE WHEN quality = 1 THEN 'q' ELSE '' END AS answer, CASE WHEN toxic = 1 THEN 'FR' END AS language, CASE WHEN doc_id % 2 = 0 THEN 'own' ELSE ' none ' END AS reply FROM labels),
+b AS (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, coalesce(l.question_id, r.question_id) AS question_id, CASE WHEN l.doc_id IS NULL THEN 'right' WHEN r.doc_id IS NULL THEN 'left' ELSE 'both' END AS origin,
+ l.answer AS la, r.answer AS ra, l.language AS ll, r.language AS rl, r.reply AS rr, coalesce(lower(trim(l.answer)), '') IN ('', 'nan', 'none') AS bla, coalesce(lower(trim(r.answer)), '') IN ('', 'nan', 'none') AS bra,
+ coalesce(lower(trim(l.language)), '') IN ('', 'nan', 'none') AS bll, coalesce(lower(trim(r.language)), '') IN ('', 'nan', 'none') AS brl FROM l FULL JOIN r ON l.doc_id = r.doc_id),
+f AS (SELECT *, CASE WHEN origin = 'right' OR (bla AND NOT bra) THEN ra ELSE la END AS answer, CASE WHEN origin = 'left' OR (bra AND NOT bla) THEN la ELSE ra END AS r_answer, CASE WHEN origin = 'right' OR (bll AND NOT brl) THEN rl ELSE ll END AS lang1, CASE WHEN origin = 'left' OR (brl AND NOT bll) THEN ll ELSE rl END AS lang2 FROM b)"""
+FOLDED = "CASE WHEN lower(trim(coalesce({0}, ''))) IN ('en', 'english', 'eng') THEN 'en' WHEN lower(trim(coalesce({0}, ''))) IN ('fr', 'french', 'français', 'francais', 'fra') THEN 'fr' WHEN contains(question_id, '_fr') THEN 'fr' WHEN contains(question_id, '_en') THEN 'en' WHEN coalesce({0}, '') = '' THEN '' ELSE {0} END"
+
+
+def two_way(t):
+    d = F.col("doc_id")
+    left = t("documents").select("doc_id", F.concat_ws("_", F.lit("test"), "lang", d.cast("string")).alias("question_id"), F.when(d % 3 == 0, "nan").otherwise(F.col("source")).alias("answer"), F.when(d % 4 == 0, "English").when(d % 4 == 1, "").otherwise(F.col("lang")).alias("language"))
+    right = t("labels").select((d + 100).alias("doc_id"), F.concat(F.lit("test_en_"), d + 100).alias("question_id"), F.when(F.col("quality") == 1, "q").otherwise("").alias("answer"), F.when(F.col("toxic") == 1, "FR").alias("language"), F.when(d % 2 == 0, "own").otherwise(" none ").alias("reply"))
+    left, right = left.withColumn("q", F.col("question_id")), right.withColumn("q", F.col("question_id"))
+    rows, counters = g.two_way(left.drop("question_id"), right.drop("question_id"), ["doc_id"], ["q", "answer", "language"], {"reply": "answer"}, question="q")
+    return kept(rows), counters
+
+
+@query(f"""WITH {TWO_WAY} SELECT doc_id, origin, answer, r_answer, {FOLDED.format('lang1')} AS language, {FOLDED.format('lang2')} AS r_language, CASE WHEN coalesce(lower(trim(rr)), '') IN ('', 'nan', 'none') AND coalesce(lower(trim(r_answer)), '') NOT IN ('', 'nan', 'none') THEN r_answer ELSE rr END AS r_reply FROM f""")
+def ledger_two_way(t):
+    """Both ledgers filled from each other, languages normalised, mirrors filled."""
+    return two_way(t)[0].select("doc_id", "origin", "answer", "r_answer", "language", "r_language", "r_reply")
+
+
+@query(f"""WITH {TWO_WAY} SELECT sum((origin = 'both' AND bla AND NOT bra)::INT + (origin = 'both' AND bll AND NOT brl)::INT)::BIGINT AS filled_left, sum((origin = 'both' AND bra AND NOT bla)::INT + (origin = 'both' AND brl AND NOT bll)::INT)::BIGINT AS filled_right,
+count(*) FILTER (origin = 'right') AS added_left, count(*) FILTER (origin = 'left') AS added_right, count(*) FILTER (coalesce(lang1, '') <> {FOLDED.format('lang1')}) AS language_fixed, count(*) AS rows FROM f""")
+def ledger_two_way_counters(t):
+    """What the synchronisation did, observed in the pass that wrote its rows."""
+    rows, counters = two_way(t)
+    names = ["filled_left", "filled_right", "added_left", "added_right", "language_fixed", "rows"]
+    return rows.sparkSession.createDataFrame([tuple(int(counters.get[n]) for n in names)], ", ".join(f"{n} bigint" for n in names))
