@@ -42,18 +42,24 @@ def _words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _joined(parts: Column, n: int) -> Column:
+    """Every n neighbours of an array of strings in one, by shifting the array against itself: linear, and nothing is computed again for an element."""
+    out = parts
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(parts, k + 1, F.size(parts)), lambda a, b: F.concat(a, b))
+    return F.filter(out, lambda x: x.isNotNull())
+
+
 def _grams(words: Column, n: int) -> Column:
-    """Distinct hashes of n adjacent words."""
-    count = F.size(words) - (n - 1)
-    each = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, n), " ")))
-    return F.when(count > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+    """Distinct hashes of n adjacent words; a line feed, which no word holds, keeps them apart."""
+    spaced = F.transform(words, lambda w: F.concat(w, F.lit("\n")))
+    return F.array_distinct(F.transform(_joined(spaced, n), lambda g: F.xxhash64(F.lit(n), g)))
 
 
 def _runs(text: Column, n: int) -> Column:
     """Distinct hashes of n adjacent characters."""
-    count = F.length(text) - (n - 1)
-    each = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.lit(-n), F.substr(text, i, F.lit(n))))
-    return F.when(count > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_distinct(F.transform(_joined(letters, n), lambda g: F.xxhash64(F.lit(-n), g)))
 
 
 def query_keys(text: Column) -> Column:
