@@ -116,7 +116,8 @@ def suffix_array(s: np.ndarray, limit: int = 6, depth: int = 1) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # one past the end keeps the halves apart
     sample = np.concatenate([ones, twos])
     bits = np.int64(int(t.max()).bit_length())
-    assert 3 * bits <= 63, "a piece is too large for keys of 63 bits"
+    place = np.int64((n + 3).bit_length())
+    assert max(3 * bits, 2 * bits + place) <= 63, "a piece is too large for keys of 63 bits"
     key = (t[sample] << (2 * bits)) | (t[sample + 1] << bits) | t[sample + 2]
     order = np.argsort(key)
     ranked = key[order]
@@ -129,25 +130,15 @@ def suffix_array(s: np.ndarray, limit: int = 6, depth: int = 1) -> np.ndarray:
     sorted12 = sample[order]
     sorted12 = sorted12[sorted12 < n]
     zeros = np.arange(0, n, 3)
-    sorted0 = zeros[np.argsort(t[zeros] * np.int64(n + 2) + rank[zeros + 1])]
-    # the place of each suffix at 0 modulo 3 among the others, by binary search on all at once
-    low, high = np.zeros(len(sorted0), np.int64), np.full(len(sorted0), len(sorted12))
-    a0, a1, r1, r2 = t[sorted0], t[sorted0 + 1], rank[sorted0 + 1], rank[sorted0 + 2]
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_]) // 2
-        j = sorted12[mid]
-        first = t[j] - a0[open_]
-        one = j % 3 == 1
-        second = np.where(one, rank[j + 1] - r1[open_], t[j + 1] - a1[open_])
-        third = np.where(one, 0, rank[j + 2] - r2[open_])
-        before = (first < 0) | ((first == 0) & ((second < 0) | ((second == 0) & (third < 0))))
-        low[open_] = np.where(before, mid + 1, low[open_])
-        high[open_] = np.where(before, high[open_], mid)
+    # a suffix at 0 modulo 3 meets those at 1 by a symbol and a rank, those at 2 by two symbols and a rank
+    pair, trio = (lambda at: (t[at] << place) | rank[at + 1]), (lambda at: (((t[at] << bits) | t[at + 1]) << place) | rank[at + 2])
+    sorted0 = zeros[np.argsort(pair(zeros))]
+    low = np.zeros(len(sorted0), np.int64)
+    for residue, key in ((1, pair), (2, trio)):
+        others = np.maximum.accumulate(key(sorted12[sorted12 % 3 == residue]))  # only suffixes alike beyond the depth can be out of order
+        low += np.searchsorted(others, key(sorted0))
     out = np.empty(n, np.int64)
-    at0 = np.maximum.accumulate(low) + np.arange(len(sorted0))  # only suffixes alike beyond the depth can be out of order
+    at0 = np.maximum.accumulate(low) + np.arange(len(sorted0))
     rest = np.ones(n, bool)
     rest[at0] = False
     out[at0], out[rest] = sorted0, sorted12
