@@ -116,7 +116,7 @@ def suffix_array(s: np.ndarray, limit: int = 6, depth: int = 1) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # one past the end keeps the halves apart
     sample = np.concatenate([ones, twos])
     bits = np.int64(int(t.max()).bit_length())
-    place = np.int64((n + 3).bit_length())
+    place = np.int64(len(sample).bit_length())  # of ranks
     assert max(3 * bits, 2 * bits + place) <= 63, "a piece is too large for keys of 63 bits"
     key = (t[sample] << (2 * bits)) | (t[sample + 1] << bits) | t[sample + 2]
     order = np.argsort(key)
