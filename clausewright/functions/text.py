@@ -146,10 +146,10 @@ def sentences(c: Column, least: int = 45, most: int = 450) -> Column:
 
 
 def adjacent(items: Column) -> Column:
-    """Each item joined with the one after it."""
-    n = F.size(items)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(items, i), F.element_at(items, i + 1)))
-    return F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
+    """Each item joined with the one after it: the array against itself, one place on, so nothing is computed again for an item."""
+    last = F.greatest(F.size(items) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(items, F.lit(1), last), F.slice(items, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
+    return F.coalesce(pairs, F.array().cast("array<string>"))
 
 
 def difficulty(answer: Column) -> Column:

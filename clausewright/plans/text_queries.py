@@ -202,8 +202,8 @@ def difficulty_and_classes(t):
 
 @query()
 def sentence_pairs(t):
-    s = text.sentences(F.col("text"))
-    return t("documents").select("doc_id", F.size(s).alias("n_sentences"), F.size(text.adjacent(s)).alias("n_pairs"), F.size(F.filter(text.adjacent(s), lambda x: F.length(x).between(60, 420))).alias("n_candidates"))
+    rows = t("documents").select("doc_id", text.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), text.adjacent(F.col("s")).alias("p"))
+    return rows.select("doc_id", "n_sentences", F.size("p").alias("n_pairs"), F.size(F.filter("p", lambda x: F.length(x).between(60, 420))).alias("n_candidates"))
 
 
 CELL = "(CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' NaN ' WHEN 3 THEN 'none' WHEN 4 THEN '0.0' WHEN 5 THEN 'Yes' WHEN 6 THEN '1.0' ELSE value::VARCHAR END)"
