@@ -72,10 +72,10 @@ def citing_chunks(chunks: DataFrame, citations: DataFrame) -> DataFrame:
 
 def question_candidates(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n question and answer pairs a language: sentences, or pairs of adjacent ones, of fitting length, in hash order and without repeats."""
-    s = text.sentences(F.col("text"))
-    singles = F.filter(s, lambda x: F.length(x).between(50, 300))
-    pairs = F.filter(text.adjacent(s), lambda x: F.length(x).between(60, 420))
-    rows = docs.select("doc_id", "lang", F.explode(F.array_distinct(F.concat(singles, pairs))).alias("answer"))
+    parts = docs.select("doc_id", "lang", text.sentences(F.col("text")).alias("s"))
+    singles = F.filter("s", lambda x: F.length(x).between(50, 300))
+    pairs = F.filter(text.adjacent(F.col("s")), lambda x: F.length(x).between(60, 420))
+    rows = parts.select("doc_id", "lang", F.explode(F.array_distinct(F.concat(singles, pairs))).alias("answer"))
     w = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "answer")), "doc_id")
     unique = rows.groupBy("lang", "answer").agg(F.min("doc_id").alias("doc_id"))
     kept = unique.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
