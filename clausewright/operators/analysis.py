@@ -14,6 +14,12 @@ from ..functions.predicates import blank
 PHRASE_BYTES = 1 << 25  # characters of an automaton's phrases
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean from an exact sum of up to ten decimal places, so that it doesn't depend on the order of the rows; values that have no such form are summed as they are."""
+    decimal = value.try_cast("decimal(28,10)")
+    return F.when(F.count(decimal) == F.count(value), F.sum(decimal).cast("double") / F.count(value)).otherwise(F.avg(value))
+
+
 def group_means(df: DataFrame, by: str, metric: str) -> DataFrame:
     """Mean by group without blank groups and empty means."""
     rows = df.where(~blank(F.col(by))).groupBy(by).agg(F.round(F.avg(metric), 4).alias("mean"))

@@ -121,7 +121,7 @@ def citation_bands(t):
 
 @query("SELECT user_id, round(avg(value), 1) AS mean_load, round(max(value), 1) AS peak_load, count(*) AS samples FROM events GROUP BY user_id")
 def resource_reduction(t):
-    return t("events").groupBy("user_id").agg(F.round(F.avg("value"), 1).alias("mean_load"), F.round(F.max("value"), 1).alias("peak_load"), F.count(F.lit(1)).alias("samples"))
+    return t("events").groupBy("user_id").agg(F.round(a.exact_mean(F.col("value")), 1).alias("mean_load"), F.round(F.max("value"), 1).alias("peak_load"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered, count(*) FILTER (role NOT IN ('user', 'assistant')) AS other FROM conversations""")
