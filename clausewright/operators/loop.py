@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import share_of_first
 from ..functions.text import tokens
+from ..sources.files import kept
 
 
 def reflected(reply: Column) -> Column:
@@ -56,6 +57,8 @@ def run(
         said = answer(F.col("question"), F.coalesce("chunk", F.lit("")))
         tried = found.withColumn("answer", said).withColumn("grounded", F.col("chunk").isNotNull() & reflected(reply(F.col("question"), F.col("answer"))))
         tried = tried.withColumn("attempts", F.lit(attempt))
+        if attempt < max_attempts:
+            tried = kept(tried)  # read by the results and by the next attempt
         out = tried if attempt == max_attempts else tried.where("grounded")
         out = out.select("item_id", "question", "doc_id", "answer", "attempts", "grounded")
         done = out if done is None else done.unionByName(out)
