@@ -1,32 +1,27 @@
-"""Joins of texts with texts: containment and token overlap, without a nested loop.
+"""Joins of texts with texts: containment and token overlap, without a nested loop over texts.
 
-Both joins find candidates by an equi-join on rare keys and then look at the two texts themselves.
+Both count the queries' words in the chunks by blocks of queries (`blocks`): one pass over the chunks for a block, and no row for a pair that only shares words.
 
-Containment. Words that stand between other characters of a query are whole words of every text that contains it, and neighbours
-stay neighbours. So a query's keys are its inner pairs of adjacent words (its inner words, where it has only one; its runs of up to
-three characters, where it has none). Only the key that the fewest chunks hold is joined; a query with a key that no chunk holds is contained nowhere.
+Containment. Words that stand between other characters of a query are whole words of every text that contains it. So only chunks with all of a query's
+inner words are looked into; a query that has none is held against every chunk.
 
-Overlap: the share of a query's token set that a chunk has. To reach `need` of n tokens a chunk has to have one of any n - need + 1
-of them, so only the n - need + 1 tokens that the fewest chunks hold are joined; the common ones, which would pair every
-query with every chunk, are looked at in candidates alone. The best chunk is searched for at falling levels, each for those queries that the levels before left.
-
-Only ids, keys and counts are shuffled; texts are fetched for candidates. Keys are joined with salts, so that a common one does not load one task.
+Overlap: the share of a query's token set that a chunk has. `overlap_candidates` finds pairs by an equi-join instead, where only rare tokens matter: to reach
+`need` of n tokens a chunk has to have one of any n - need + 1 of them, so the n - need + 1 tokens that the fewest chunks hold are joined.
 
 Texts are compared in lower case, queries without the white space around them; null, empty and blank queries match nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, token_set
 from ..sources.files import kept
+from . import blocks
 
 SALTS = 8
-LEVELS = (0.75, 0.4, 0.0)
 _INNER = rf"(?<=[^\p{{L}}\p{{N}}_]){WORD}(?=[^\p{{L}}\p{{N}}_])"
 
 
@@ -42,33 +37,6 @@ def _words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _joined(parts: Column, n: int) -> Column:
-    """Every n neighbours of an array of strings in one, by shifting the array against itself: linear, and nothing is computed again for an element."""
-    out = parts
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(parts, k + 1, F.size(parts)), lambda a, b: F.concat(a, b))
-    return F.filter(out, lambda x: x.isNotNull())
-
-
-def _grams(words: Column, n: int) -> Column:
-    """Distinct hashes of n adjacent words; a line feed, which no word holds, keeps them apart."""
-    spaced = F.transform(words, lambda w: F.concat(w, F.lit("\n")))
-    return F.array_distinct(F.transform(_joined(spaced, n), lambda g: F.xxhash64(F.lit(n), g)))
-
-
-def _runs(text: Column, n: int) -> Column:
-    """Distinct hashes of n adjacent characters."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.array_distinct(F.transform(_joined(letters, n), lambda g: F.xxhash64(F.lit(-n), g)))
-
-
-def query_keys(text: Column) -> Column:
-    """The keys of a query (in lower case, without white space around): every text that contains it has them all."""
-    inner = _words(text, _INNER)
-    runs = F.when(F.length(text) >= 3, _runs(text, 3)).when(F.length(text) == 2, _runs(text, 2)).otherwise(_runs(text, 1))
-    return F.when(F.size(inner) > 1, _grams(inner, 2)).when(F.size(inner) == 1, _grams(inner, 1)).otherwise(runs)
-
-
 def _salted(large: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
     """Inner join in which one key may hold a large share of `large`."""
     each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -80,29 +48,12 @@ def _held(chunks: DataFrame, keys: Column, asked: DataFrame) -> DataFrame:
     return chunks.select("doc_id", F.explode(keys).alias("key")).join(asked, "key", "left_semi")
 
 
-def containment_candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(item_id, doc_id) of chunks (doc_id, text) with the rarest key of a query (item_id, text)."""
-    keys = queries.select("item_id", F.col("text").alias("q")).where("q <> ''").select("item_id", F.size(_words(F.col("q"), _INNER)).alias("inner"), F.explode(query_keys(F.col("q"))).alias("key"))
-    keys = kept(keys)
-    words = _words(F.col("text"), WORD)
-    asked = lambda where: keys.where(where).select("key").distinct()
-    held = _held(chunks, F.array_union(_grams(words, 1), _grams(words, 2)), asked("inner > 0"))
-    if not keys.where("inner = 0").isEmpty():
-        runs = reduce(F.array_union, (_runs(F.col("text"), n) for n in (1, 2, 3)))
-        held = held.unionByName(_held(chunks, runs, asked("inner = 0")))
-    held = kept(held)
-    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rare = keys.join(counts, "key", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x"))
-    rare = rare.where("x.n > 0").select("item_id", F.col("x.key").alias("key"))
-    return _salted(held, rare, "key", "doc_id").select("item_id", "doc_id")
-
-
 def containing(queries: DataFrame, chunks: DataFrame, exact: bool = False) -> DataFrame:
     """(item_id, doc_id) of every chunk (doc_id, text) that contains the text of a query (item_id, text); `exact`: as they are written."""
     q, c = (F.coalesce("text", F.lit("")),) * 2 if exact else (bare(F.col("text")), plain(F.col("text")))
     q, c = queries.select("item_id", q.alias("text")), chunks.select("doc_id", c.alias("text"))
-    pairs = containment_candidates(q, c).join(c.withColumnRenamed("text", "_c"), "doc_id").join(q.withColumnRenamed("text", "_q"), "item_id")
-    return pairs.where(F.contains("_c", "_q")).select("item_id", "doc_id")
+    asked = q.where("text <> ''").select("item_id", F.array_distinct(_words(F.col("text"), _INNER)).alias("terms"), "text")
+    return blocks.containing(c.select("doc_id", _words(F.col("text"), WORD).alias("words"), "text"), asked)
 
 
 def overlap_candidates(queries: DataFrame, chunks: DataFrame, least: float, strict: bool = False) -> DataFrame:
@@ -119,13 +70,24 @@ def overlap_candidates(queries: DataFrame, chunks: DataFrame, least: float, stri
     return _salted(held, rare, "key", "doc_id").select("item_id", "doc_id").distinct()
 
 
+def _share(counts: np.ndarray, weights: np.ndarray, lengths: np.ndarray, block: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
+    """The share of a question's tokens that a document has, and whether it has any."""
+    common = (counts > 0).astype(np.float64) @ weights
+    return common / np.maximum(block.sizes, 1), common > 0
+
+
+def _sets(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.coalesce("s", F.array().cast("array<string>")).alias("terms"))
+
+
 def overlapping(queries: DataFrame, chunks: DataFrame, least: float, strict: bool = False) -> DataFrame:
     """(item_id, doc_id, overlap) of all chunks (doc_id, s) that have at least (`strict`: more than) the share `least` of a query's tokens (item_id, s), and any."""
-    found = overlap_candidates(queries, chunks, least, strict)
-    pairs = found.join(chunks.select("doc_id", F.col("s").alias("_c")), "doc_id").join(queries.select("item_id", F.col("s").alias("_q")), "item_id")
-    overlap = F.size(F.array_intersect("_q", "_c")) / F.size("_q")
-    scored = pairs.select("item_id", "doc_id", overlap.alias("overlap")).where("overlap > 0")
-    return scored.where(F.col("overlap") > least if strict else F.col("overlap") >= least)
+
+    def score(counts: np.ndarray, weights: np.ndarray, lengths: np.ndarray, block: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
+        share, some = _share(counts, weights, lengths, block)
+        return share, some & ((share > least) if strict else (share >= least))
+
+    return blocks.every(_sets(chunks, "doc_id"), _sets(queries, "item_id"), score).withColumnRenamed("score", "overlap")
 
 
 def first(scored: DataFrame) -> DataFrame:
@@ -134,24 +96,16 @@ def first(scored: DataFrame) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def best(queries: DataFrame, chunks: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+def best(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item_id, doc_id, overlap): the chunk with the largest overlap above zero."""
-    out, left = None, queries.select("item_id", "s")
-    for n, level in enumerate(levels):
-        found = kept(first(overlapping(left, chunks, level)))
-        out = found if out is None else out.unionByName(found)
-        if n + 1 < len(levels):
-            left = left.join(found.select("item_id"), "item_id", "left_anti")
-            if left.isEmpty():
-                break
-    return out
+    return first(blocks.best(_sets(chunks, "doc_id"), _sets(queries, "item_id"), _share, 1).withColumnRenamed("score", "overlap"))
 
 
 def resolved(queries: DataFrame, chunks: DataFrame, least: float = 0.3) -> DataFrame:
     """(item_id, doc_id, overlap, rank): all chunks from `least` on; where there is none, the single best above zero."""
-    found = kept(overlapping(queries, chunks, least))
-    left = queries.select("item_id", "s").join(found.select("item_id").distinct(), "item_id", "left_anti")
-    both = found if left.isEmpty() else found.unionByName(best(left, chunks, (0.0,)))
+    found = overlapping(queries, chunks, least)
+    left = kept(queries.select("item_id", "s").join(found.select("item_id").distinct(), "item_id", "left_anti"))
+    both = found if left.isEmpty() else found.unionByName(best(left, chunks))
     w = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
     return both.withColumn("rank", F.row_number().over(w))
 
@@ -160,7 +114,7 @@ def repaired(queries: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataF
     """(item_id, doc_id, how, overlap): the first chunk that contains the text of a query; where none does, the best overlap above `least`."""
     whole = kept(containing(queries, chunks).groupBy("item_id").agg(F.min("doc_id").alias("doc_id")))
     left = queries.where(bare(F.col("text")) != "").join(whole, "item_id", "left_anti").select("item_id", token_set(bare(F.col("text"))).alias("s")).where(F.size("s") > 0)
-    near = first(overlapping(left, chunks.select("doc_id", token_set(F.col("text")).alias("s")), least, strict=True))
+    near = best(kept(left), chunks.select("doc_id", token_set(F.col("text")).alias("s"))).where(F.col("overlap") > least)
     exact = whole.select("item_id", "doc_id", F.lit("contained").alias("how"), F.lit(1.0).alias("overlap"))
     return exact.unionByName(near.select("item_id", "doc_id", F.lit("overlap").alias("how"), "overlap"))
 
@@ -171,8 +125,8 @@ def rescued(questions: DataFrame, sources: DataFrame, chunks: DataFrame, lost: C
     Sources that resolve to no chunk leave the list; a question none of whose sources does keeps what it had.
     """
     wanted = sources.join(questions.where(lost).select("item_id"), "item_id", "left_semi")
-    texts = wanted.select(F.struct("item_id", "rank").alias("item_id"), "text")
-    ids = repaired(texts, chunks).select(F.col("item_id.item_id").alias("item_id"), F.col("item_id.rank").alias("rank"), "doc_id")
+    wanted = kept(wanted.select("item_id", "rank", "text", F.monotonically_increasing_id().alias("n")))
+    ids = repaired(wanted.select(F.col("n").alias("item_id"), "text"), chunks).select(F.col("item_id").alias("n"), "doc_id").join(wanted.select("n", "item_id", "rank"), "n")
     lists = ids.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("x")).select("item_id", F.transform("x", lambda v: v["doc_id"]).alias("_new"))
     rows = questions.join(lists, "item_id", "left")
     return rows.withColumn("got", F.coalesce("_new", "got")).drop("_new")
