@@ -55,8 +55,10 @@ def latency_block(df: DataFrame, by: str, latency: str, limit: float = 60.0) ->
 
 def box(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles and the upper whisker: the largest value within 1.5 interquartile ranges of the third quartile."""
-    quartiles = df.groupBy(by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))  # one row a group
-    near = df.join(quartiles, by).where(F.col(value) <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    from .systems import quantiles  # which takes `unjudged` from here
+
+    quartiles = quantiles(df, [by], value, {"q1": 0.25, "q3": 0.75}).drop("n")  # one row a group
+    near = df.join(F.broadcast(quartiles), by).where(F.col(value) <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return near.groupBy(by, "q1", "q3").agg(F.max(value).alias("whisker")).select(by, F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"), "whisker")
 
 
