@@ -10,21 +10,25 @@ Three tables under one path, each in generations, so that documents are added wi
 A search is exact and stops early, by bounds. The score of a term grows with tf and falls with dl, so max_tf and min_dl bound it, for a
 term and for a block. The documents of a question's rarest terms are scored first, and the k-th best of them is a floor for its
 results. The terms with the least bounds whose sum stays below the floor cannot bring a document in alone, so their lists are not read; blocks of the others are
-read only where the block's bound, with the other terms' bounds, reaches the floor. What is left is scored in whole from `forward`, by a join on the document.
+read only where the block's bound, with the other terms' bounds, reaches the floor. The documents left for any question are scored from `forward`, by blocks of questions.
 
 Scores and their order are those of `retrieval.bm25`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.files import kept
-from .retrieval import B, FLOOR, K1, top
+from . import blocks
+from .retrieval import B, FLOOR, K1, scorer, top
 
 BLOCK = 1024
 BUCKETS = 16
@@ -63,14 +67,12 @@ def append(index: Index, docs: DataFrame, block: int = BLOCK) -> int:
     if index.exists():
         new = new.join(index.table("forward").select("doc_id"), "doc_id", "left_anti")
         generation = index.table("forward").agg(F.max("generation")).first()[0] + 1
-    words = new.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
-    counted = words.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = kept(counted)
-    maps = counted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))  # of one document
-    forward = words.select("doc_id", "dl").join(maps, "doc_id", "left")
+    words = new.select("doc_id", tokens(F.col("text")).alias("w"))
     into = lambda name: f"{index.path}/{name}/generation={generation}"
-    forward.write.mode("overwrite").parquet(into("forward"))
-    mean = spark.read.parquet(into("forward")).agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("n")).first()
+    words.mapInArrow(_counted, "doc_id bigint, dl int, tf map<string,bigint>").write.mode("overwrite").parquet(into("forward"))
+    stored = spark.read.parquet(into("forward"))
+    counted = stored.select("doc_id", "dl", F.explode("tf").alias("term", "tf"))
+    mean = stored.agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("n")).first()
     if not mean["n"]:
         return 0
     terms = kept(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")))
@@ -84,6 +86,19 @@ def append(index: Index, docs: DataFrame, block: int = BLOCK) -> int:
     return mean["n"]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, w) with the number of their words and how often they have each: no shuffle."""
+    for batch in batches:
+        lists = batch.column(1)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        n = max(1, len(words.dictionary))
+        pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        ends = np.searchsorted(pairs, np.arange(len(lengths) + 1) * n)
+        tf = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), words.dictionary.take(pa.array(pairs % n)), pa.array(times, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), tf], names=["doc_id", "dl", "tf"])
+
+
 def asked_terms(index: Index, questions: DataFrame) -> DataFrame:
     """(item_id, term, qf, df, w, bound, avgdl) of the terms that the index has; w: qf times idf."""
     corpus = index.table("forward").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
@@ -112,8 +127,8 @@ def scored(index: Index, pairs: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("item_id", "doc_id", F.round(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
 
 
-def candidates(index: Index, terms: DataFrame, k: int) -> DataFrame:
-    """(item_id, doc_id): the documents that may be among the k best of a question with these `asked_terms`."""
+def needed_blocks(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """(item_id, generation, term, level, block, docs): blocks of lists with a document that may be among the k best of a question with these `asked_terms`."""
     by_df = Window.partitionBy("item_id").orderBy("df", "term")  # of one question's terms
     before = F.coalesce(F.sum("df").over(by_df.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rare = terms.withColumn("before", before).where(F.col("before") < SEED * k).select("item_id", "term")
@@ -129,13 +144,26 @@ def candidates(index: Index, terms: DataFrame, k: int) -> DataFrame:
     needed = kept(needed.select("item_id", "term", "w", "avgdl", "floor", (F.col("all") - F.col("bound")).alias("others")))
     blocks = held(needed)
     reach = F.greatest(F.lit(0.0), F.col("w")) * weight(F.col("max_tf"), F.col("min_dl"), F.col("avgdl")) + F.col("others")
-    return blocks.where(F.col("floor").isNull() | (reach >= F.col("floor") - NEAR)).select("item_id", F.explode("docs").alias("doc_id")).distinct()
+    return blocks.where(F.col("floor").isNull() | (reach >= F.col("floor") - NEAR)).select("item_id", "generation", "term", "level", "block", "docs")
+
+
+def candidates(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id): the documents that may be among the k best of a question with these `asked_terms`."""
+    return needed_blocks(index, terms, k).select("item_id", F.explode("docs").alias("doc_id")).distinct()
 
 
 def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
     """(item_id, doc_id, score, rank): the k best documents of each question (item_id, text) among those that share a term with it."""
     terms = asked_terms(index, questions)
-    return top(scored(index, candidates(index, terms, k), terms), "score", k)
+    some = terms.agg(F.first("avgdl")).first()[0]
+    need = needed_blocks(index, terms, k).groupBy("generation", "term", "level", "block").agg(F.first("docs").alias("docs"))
+    size = need.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
+    forward = index.table("forward")
+    if size < forward.count():  # else the lists name about every document
+        forward = forward.join(need.select(F.explode("docs").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    asked = terms.groupBy("item_id").agg(F.collect_list(F.struct("term", "w")).alias("x")).select("item_id", F.col("x.term").alias("terms"), F.col("x.w").alias("weights"))  # one question's terms
+    docs = forward.select("doc_id", F.map_keys("tf").alias("words"), F.map_values("tf").alias("times"))
+    return top(blocks.best(docs, asked, scorer(some), k), "score", k)
 
 
 def resumed(questions: DataFrame, stored: DataFrame, find) -> DataFrame:

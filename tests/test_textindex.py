@@ -59,3 +59,14 @@ def test_resume_asks_only_what_is_missing(spark):
 
     got = sorted(tuple(r) for r in textindex.resumed(questions, stored, find).collect())
     assert sorted(asked) == [2, 3] and got == [(1, 7, 0.5), (2, 9, 0.1), (3, 9, 0.1)]
+
+
+def test_search_makes_no_row_for_a_pair(spark, corpus, tmp_path, monkeypatch):
+    """Only the seeds are scored as pairs; documents are counted once, when they are stored."""
+    docs, questions = corpus
+    index = textindex.Index(spark, f"{tmp_path}/d", 4)
+    textindex.append(index, docs, block=16)
+    assert {r.doc_id: r.tf for r in index.table("forward").where("doc_id > 499").collect()} == {500: {}, 501: {}, 502: {"w0": 90}}
+    made, plain = [], textindex.scored
+    monkeypatch.setattr(textindex, "scored", lambda *a: made.append(1) or plain(*a))
+    assert rows(textindex.search(index, questions, 3)) == rows(retrieval.bm25(docs, questions, 3)) and len(made) == 1
