@@ -8,7 +8,8 @@ text need not be sorted at all:
 
 1. Equal texts are reduced to one row with its number of copies. Every string of `width` units has an anchor, the least
    hash among its substrings of `gram` units; neighbouring strings with the same anchor form a run. Equal strings have equal
-   anchors. Anchors that occur once cannot repeat, and their text is never sent anywhere.
+   anchors. Anchors are counted first: those that occur once cannot repeat, their runs go no further and their text is never
+   sent anywhere.
 2. Runs whose whole span is equal are one class: in classes of two or more every string repeats. One run of each
    class stands for it from here on.
 3. Where an anchor has several classes, each run is cut in two where the anchor passes the middle of a string. All strings of
@@ -16,7 +17,9 @@ text need not be sorted at all:
    halves' new anchors, and steps 1 and 2 are taken again with them. A common phrase alone thus brings nothing together. (An
    anchor that lies twice in one text, as in periodic text, stays as it is.)
 4. Where an anchor still has several classes, or lies twice in a text, its spans are brought together by the anchor and
-   suffix-sorted; neighbours with equal prefixes of `width` units repeat, and their bytes are compared. An anchor with more than HOT
+   suffix-sorted; neighbours with equal prefixes of `width` units repeat, and their bytes are compared. All strings of a half
+   hold its anchor at one place, so there the anchor is a single symbol: its bytes are neither sent nor sorted, and a 128-bit hash
+   (the anchor and a second hash of 64 bits) stands for them. An anchor with more than HOT
    classes, or more units in their spans than `most`, would be too much for one task: its strings are named one by
    one by a 128-bit hash instead, and names are counted, combined before the shuffle.
 
@@ -43,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, kept_table, release, salted_join, shared_folder, text_of, to_discard, unused
+from .common import cut_lineage, kept_table, release, replaced, salted_join, shared_folder, text_of, to_discard, unused
 
 WIDTH = 400
 PASSAGE = 51  # words: the least passage of over 50
@@ -171,34 +174,52 @@ def prefix_codes(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _verified(s: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
-    """Which pairs of positions have equal strings of `width` units; pairs on one diagonal share their comparisons."""
+    """Which pairs of positions have equal strings of `width` units; eight bytes of all pairs are compared at a time."""
     if not len(i):
         return np.zeros(0, bool)
-    order = np.lexsort((i, i - j))
-    x, y = i[order], j[order]
-    cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(y) != 1)) + 1
-    ok = np.ones(len(x), bool)
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True):
-        p, q, n = int(x[a]), int(y[a]), b - a + width - 1
-        if not np.array_equal(s[p : p + n], s[q : q + n]):
-            ok[a:b] = [np.array_equal(s[p + k : p + k + width], s[q + k : q + k + width]) for k in range(b - a)]
-    out = np.empty(len(i), bool)
-    out[order] = ok
-    return out
+    s = np.ascontiguousarray(s, np.min_scalar_type(int(s.max())))
+    per = 8 // s.itemsize
+    if width < per:
+        per, words = 1, s
+    else:
+        words = np.ndarray(len(s) - per + 1, np.uint64, s, strides=(s.itemsize,)).copy()
+    ok = np.ones(len(i), bool)
+    for k in [*range(0, width - per, per), width - per]:
+        ok &= words[i + k] == words[j + k]
+    return ok
+
 
+def repeated(spans: list[bytes], width: int, unit: Unit = BYTES, anchors: list | None = None, after: list[bytes] | None = None) -> list[np.ndarray]:
+    """For each span, which of its `width`-unit strings occur elsewhere among the spans.
 
-def repeated(spans: list[bytes], width: int, unit: Unit = BYTES) -> list[np.ndarray]:
-    """For each span, which of its `width`-unit strings occur elsewhere among the spans."""
+    With `anchors`, a span goes on with its anchor, which counts as one unit that only equal anchors equal, and the units `after` it.
+    """
+    names: dict = {}
+    marks = [] if anchors is None else [names.setdefault(x, len(names)) for x in anchors]
     if unit.words:
         ids: dict[bytes, int] = {}
-        parts = [[ids.setdefault(w, len(ids)) for w in span.split(b" ")] for span in spans]
-        sizes = [len(p) for p in parts]
-        s = np.fromiter((w for p in parts for w in p), np.int64, sum(sizes))
-        h = _word_hashes(b" ".join(ids))[0][s]
+        parts = [[ids.setdefault(w, len(ids)) for w in span.split(b" ")] if span else [] for span in spans]
+        sizes = np.array([len(p) for p in parts])
+        if marks:
+            tails = [[ids.setdefault(w, len(ids)) for w in span.split(b" ")] if span else [] for span in after]
+            parts = [x for p, q in zip(parts, tails, strict=True) for x in (p, [0], q)]
+        s = np.fromiter((w for p in parts for w in p), np.int64)
+        h = (_word_hashes(b" ".join(ids))[0] if ids else np.zeros(1, np.uint64))[s]
+        least = len(ids)
     else:
-        sizes = [len(x) for x in spans]
-        s = np.frombuffer(b"".join(spans), np.uint8)
+        sizes = np.array([len(x) for x in spans])
+        s = np.frombuffer(b"".join([x for p, q in zip(spans, after, strict=True) for x in (p, b"\0", q)] if marks else spans), np.uint8)
         h = _TABLE[s]
+        least = 256
+        if marks:
+            s = s.astype(np.int64)
+        tails = after
+    if marks:
+        before = sizes
+        sizes = before + 1 + np.array([len(x) for x in tails])
+        at = np.cumsum(sizes) - sizes + before
+        s[at] = least + np.array(marks)
+        h[at] = (np.array(marks, np.uint64) + np.uint64(1)) * np.uint64(_MIX[3])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     limit = next(d for d in range(1, 64) if 3**d >= width)
@@ -288,7 +309,8 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 RUN = "k1 bigint, k2 bigint, begin bigint, end bigint, anchor bigint, span bigint, copies bigint, twin boolean"
-_RUN = [c.split()[0] for c in RUN.split(", ")]
+HALF = f"{RUN}, low bigint"  # where the longer anchor begins
+_RUN, _HALF = ([c.split()[0] for c in kind.split(", ")] for kind in (RUN, HALF))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, unit: Unit) -> Iterator[pa.RecordBatch]:
@@ -336,18 +358,31 @@ def _halves(batches: Iterator[pa.RecordBatch], width: int, unit: Unit) -> Iterat
                 mid = min(max(p - half + 1, b), e)
                 for seed, a, z, low, high in ((1, b, mid, p - half, p + size), (2, mid, e, p, p + size + half)):
                     if a < z:
-                        out.append((row["k1"], row["k2"], a, z, digest(body, starts[low], stops[high - 1], seed), digest(body, starts[a], stops[z + width - 2], 0), r["copies"], False))
+                        out.append((row["k1"], row["k2"], a, z, digest(body, starts[low], stops[high - 1], seed), digest(body, starts[a], stops[z + width - 2], 0), r["copies"], False, low))
             cols = list(zip(*out, strict=True))
             arrays = [_signed(np.array(c, np.uint64)) if k in (4, 5) else pa.array(c, pa.bool_() if k == 7 else pa.int64()) for k, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays(arrays, names=_RUN)
+            yield pa.RecordBatch.from_arrays(arrays, names=_HALF)
+
+
+def _long(width: int, unit: Unit) -> int:
+    """Units of a half's anchor."""
+    size = min(1 << len(_MIX), 1 << (min(unit.gram, width).bit_length() - 1))
+    return size + (width - size) // 2
 
 
 def _of_runs(row: dict, width: int, unit: Unit, hot: bool) -> Iterator[tuple]:
     body, _, starts, stops = laid_out(row["text"].encode(), unit)
+    long = _long(width, unit)
     for r in row["runs"]:
         head = (row["k1"], row["k2"], r["begin"], r["anchor"], r["copies"] == 1)
         if not hot:
-            yield *head, body[starts[r["begin"]] : stops[r["end"] + width - 2]]
+            a, z, low = r["begin"], r["end"] + width - 1, r["low"]
+            if low is None:
+                yield *head, body[starts[a] : stops[z - 1]], None, 0
+                continue
+            high = low + long
+            check = xxhash.xxh3_64_intdigest(body[starts[low] : stops[high - 1]], seed=3) - (1 << 63)
+            yield *head, body[starts[a] : stops[low - 1]] if a < low else b"", body[starts[high] : stops[z - 1]] if high < z else b"", check
             continue
         for s in range(r["begin"], r["end"]):
             d = xxhash.xxh3_128_digest(body[starts[s] : stops[s + width - 1]])
@@ -355,14 +390,14 @@ def _of_runs(row: dict, width: int, unit: Unit, hot: bool) -> Iterator[tuple]:
 
 
 def _spans(batches: Iterator[pa.RecordBatch], width: int, unit: Unit, hot: bool) -> Iterator[pa.RecordBatch]:
-    """The bytes of runs (or, hot, the names of their strings)."""
-    names = ["k1", "k2", "begin", "anchor", "single"] + (["w1", "w2"] if hot else ["bytes"])
+    """The bytes of runs (of halves, those before and after the anchor, and its second hash), or, hot, the names of their strings."""
+    names = ["k1", "k2", "begin", "anchor", "single"] + (["w1", "w2"] if hot else ["bytes", "after", "check"])
     for batch in batches:
         for row in batch.to_pylist():
             out = _of_runs(row, width, unit, hot)
             while part := list(islice(out, 2000)):  # the names of a long run are many times its bytes
                 cols = list(zip(*part, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.bool_()] + ([pa.int64()] * 2 if hot else [pa.binary()])
+                kinds = [pa.int64()] * 4 + [pa.bool_()] + ([pa.int64()] * 2 if hot else [pa.binary(), pa.binary(), pa.int64()])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -370,27 +405,31 @@ def _sorted_pieces(batches: Iterator[pa.RecordBatch], width: int, unit: Unit, pi
     """Repeated strings of spans that come sorted by anchor, as ranges of starts; anchors are never divided."""
     per_unit = 6 if unit.words else 1  # bytes, about
 
-    def ranges(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def ranges(held: list[tuple], halves: bool) -> Iterator[pa.RecordBatch]:
+        spans = [h[5] for h in held]
+        marked = repeated(spans, width - _long(width, unit) + 1, unit, [(h[3], h[7]) for h in held], [h[6] for h in held]) if halves else repeated(spans, width, unit)
         out = []
-        for (k1, k2, begin, _, single, _), found in zip(held, repeated([h[5] for h in held], width, unit), strict=True):
+        for (k1, k2, begin, _, single, *_), found in zip(held, marked, strict=True):
             if single and found.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], found.view(np.int8), [0]])))
                 out += [(k1, k2, begin + a, begin + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["k1", "k2", "begin", "end"])
 
-    held: list[tuple] = []
-    size = 0
+    held: dict[bool, list[tuple]] = {True: [], False: []}  # halves, others: an anchor's spans are all of one kind
+    size = {True: 0, False: 0}
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     for _, group in groupby(rows, key=lambda row: row[3]):
-        if size >= piece * per_unit:
-            yield from ranges(held)
-            held, size = [], 0
         some = list(group)  # of at most HOT rows and `most` units
-        held += some
-        size += sum(len(row[5]) for row in some)
-    if held:
-        yield from ranges(held)
+        kind = some[0][6] is not None
+        if size[kind] >= piece * per_unit:
+            yield from ranges(held[kind], kind)
+            held[kind], size[kind] = [], 0
+        held[kind] += some
+        size[kind] += sum(len(row[5]) + len(row[6] or b"") for row in some)
+    for kind, some in held.items():
+        if some:
+            yield from ranges(some, kind)
 
 
 def covered(ranges: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
@@ -449,15 +488,25 @@ def _distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
+def _candidates(runs: DataFrame) -> DataFrame:
+    """The runs whose anchor occurs again, in place of the kept table `runs`: anchors are counted before runs are moved by them."""
+    often = runs.groupBy("anchor").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin")).where("n > 1 or twin").select("anchor")
+    return replaced(runs, salted_join(runs, often, "anchor", "k1").select(*runs.columns))
+
+
 def _sizes(classes: DataFrame, width: int, hot: int, most: int) -> DataFrame:
     """For each anchor the number of its classes, whether it lies twice in a text, and whether classes or units are too many for one task."""
     kinds, size = F.count(F.lit(1)), F.sum(F.col("one.end") - F.col("one.begin") + width - 1)
     return classes.groupBy("anchor").agg(kinds.alias("kinds"), F.max("twin").alias("twins"), ((kinds > hot) | (size > most)).alias("hot"))
 
 
+def _place(runs: DataFrame) -> list[str]:
+    return [c for c in ("k1", "k2", "begin", "end", "low") if c in runs.columns]
+
+
 def _classes(runs: DataFrame, width: int, hot: int, most: int) -> tuple[DataFrame, DataFrame]:
     """The runs in classes of equal spans, as ranges; and the runs that stand for classes which may share a part of their strings."""
-    classes = runs.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin"), F.min(F.struct("k1", "k2", "begin", "end")).alias("one"))
+    classes = runs.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin"), F.min(F.struct(*_place(runs))).alias("one"))
     classes = cut_lineage(classes.join(_sizes(classes, width, hot, most).hint("merge"), "anchor").where("n > 1 or kinds > 1 or twin"))
     alike = runs.join(classes.where("n > 1").select("anchor", "span").hint("merge"), ["anchor", "span"]).select("k1", "k2", "begin", "end")
     stand = classes.where("kinds > 1 or (n = 1 and twin)").select("one.*", "anchor", "span", F.least("n", F.lit(2)).alias("copies"), "twin", "twins", "hot")
@@ -466,22 +515,22 @@ def _classes(runs: DataFrame, width: int, hot: int, most: int) -> tuple[DataFram
 
 def _beside(texts: DataFrame, runs: DataFrame, *by: str) -> DataFrame:
     """Texts with their runs as an array; texts stay in their buckets."""
-    wanted = runs.groupBy("k1", "k2", *by).agg(F.collect_list(F.struct("begin", "end", "anchor", "copies")).alias("runs"))
+    wanted = runs.groupBy("k1", "k2", *by).agg(F.collect_list(F.struct(*_place(runs)[2:], "anchor", "copies")).alias("runs"))
     return texts.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "runs", *by)
 
 
 def repeats(texts: DataFrame, width: int, unit: Unit, hot: int = HOT, piece: int | None = None, most: int | None = None) -> DataFrame:
     """(k1, k2, begin, end): ranges of units at which strings start that also start elsewhere in `texts` (k1, k2, text, copies)."""
     most = unit.most if most is None else most
-    runs = kept_table(texts.select("k1", "k2", "text", "copies").mapInArrow(lambda it: _runs(it, width, unit), RUN))
+    runs = _candidates(kept_table(texts.select("k1", "k2", "text", "copies").mapInArrow(lambda it: _runs(it, width, unit), RUN)))
     alike, stand = _classes(runs, width, hot, most)
-    halves = _beside(texts, stand.where("not twins")).mapInArrow(lambda it: _halves(it, width, unit), RUN)
-    halves = kept_table(halves.unionByName(stand.where("twins").select(*_RUN)))
+    halves = _beside(texts, stand.where("not twins")).mapInArrow(lambda it: _halves(it, width, unit), HALF)
+    halves = kept_table(halves.unionByName(stand.where("twins").select(*_RUN), allowMissingColumns=True))
     again, rest = _classes(halves, width, hot, most)
 
-    read = _beside(texts, rest, "hot")
+    read = _beside(texts, rest.withColumn("low", F.when(~F.col("twins"), F.col("low"))), "hot")
     head = "k1 bigint, k2 bigint, begin bigint, anchor bigint, single boolean"
-    spans = read.where("not hot").drop("hot").mapInArrow(lambda it: _spans(it, width, unit, False), f"{head}, bytes binary")
+    spans = read.where("not hot").drop("hot").mapInArrow(lambda it: _spans(it, width, unit, False), f"{head}, bytes binary, after binary, check bigint")
     sorted_ = spans.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _sorted_pieces(it, width, unit, piece or unit.piece), "k1 bigint, k2 bigint, begin bigint, end bigint")
     named = read.where("hot").drop("hot").mapInArrow(lambda it: _spans(it, width, unit, True), f"{head}, w1 bigint, w2 bigint")
     twice = named.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -495,6 +544,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH, un
     With `passages`, strings of so many words that repeat are counted too (the last two columns), but not removed.
     """
     texts = _distinct_texts(df, text_col)
+    release(df.sparkSession)  # the shuffle of the texts
     ranges = repeats(texts, width, unit, hot, piece, most).withColumn("passage", F.lit(False))
     release(df.sparkSession)
     if passages:

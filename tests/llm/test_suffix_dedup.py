@@ -224,6 +224,114 @@ def test_neighbours_are_compared_by_their_bytes():
     assert sd._verified(s, i, j, 2).tolist() == [True, True, True, True, False]
 
 
+@pytest.mark.parametrize("top", [3, 200, 300, 70_000])
+def test_comparison_takes_every_symbol(top):
+    rng = np.random.default_rng(top)
+    s = rng.integers(top - 2, top, 400)
+    s = np.concatenate([s, s, [0]])
+    for width in (1, 2, 3, 7, 8, 9, 40):
+        other = s.copy()
+        other[rng.integers(0, 800, 20)] = 1
+        i = np.concatenate([np.arange(300), rng.integers(0, 700, 200)])
+        j = np.concatenate([np.arange(300) + 400, rng.integers(0, 700, 200)])
+        assert sd._verified(other, i, j, width).tolist() == [other[a : a + width].tolist() == other[b : b + width].tolist() for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def test_pairs_are_not_compared_one_by_one(monkeypatch):
+    rng = np.random.default_rng(11)
+    text = rng.integers(97, 123, 900, dtype=np.uint8)
+    spans = []
+    for _ in range(30):  # near copies: the neighbours of a suffix lie in ever other spans
+        near = text.copy()
+        near[rng.integers(0, 900, 2)] = 35
+        spans.append(near.tobytes())
+    calls = []
+    monkeypatch.setattr(np, "array_equal", lambda a, b, f=np.array_equal: calls.append(1) or f(a, b))
+    got = sd.repeated(spans, 400)
+    count = Counter(x[i : i + 400] for x in spans for i in range(501))
+    assert [g.tolist() for g in got] == [[count[x[i : i + 400]] > 1 for i in range(501)] for x in spans]
+    assert len(calls) < 100
+
+
+@pytest.mark.parametrize("unit", [sd.BYTES, sd.WORDS])
+def test_an_anchor_counts_as_one_unit(unit):
+    rng = np.random.default_rng(12)
+
+    def text(n):
+        return rng.integers(97, 99, n, dtype=np.uint8).tobytes() if not unit.words else b" ".join(b"w%d" % x for x in rng.integers(0, 2, n))
+
+    def join(*parts):
+        return (b" " if unit.words else b"").join(p for p in parts if p)
+
+    anchors = {k: b"ANCHOR%d" % k for k in range(3)}
+    if not unit.words:
+        assert len({len(a) for a in anchors.values()}) == 1
+    long = 1 if unit.words else 7
+    width = long + 5
+    names = [int(x) for x in rng.integers(0, 3, 80)]
+    before, after = ([text(int(rng.integers(0, 6))) for _ in names] for _ in range(2))
+    size = lambda x: (len(x.split()) if unit.words else len(x))
+    held = [k for k in range(80) if size(before[k]) + size(after[k]) >= 5]
+    names, before, after = ([x[k] for k in held] for x in (names, before, after))
+    wholes = [join(b, anchors[n], a) for b, n, a in zip(before, names, after, strict=True)]
+    got = sd.repeated(before, width - long + 1, unit, names, after)
+    assert [g.tolist() for g in got] == [g.tolist() for g in sd.repeated(wholes, width, unit)]
+    assert any(g.any() for g in got) and not all(g.all() for g in got)
+
+
+def moved(spark, seen=0):
+    """Rows that shuffles have written, in stages from `seen` on; and the next stage."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    kept = [(s.stageId(), s.shuffleWriteRecords()) for s in (stages.apply(k) for k in range(stages.size()))]
+    return sum(n for k, n in kept if k >= seen), max((k for k, _ in kept), default=-1) + 1
+
+
+def test_runs_that_cannot_repeat_move_once(spark):
+    rng = np.random.default_rng(13)
+    rows = [(k, rng.integers(97, 123, 4000, dtype=np.uint8).tobytes().decode()) for k in range(150)]
+    texts = sd._distinct_texts(spark.createDataFrame(rows, "doc_id int, text string"), "text")
+    runs = texts.select("k1", "k2", "text", "copies").mapInArrow(lambda it: sd._runs(it, 400, sd.BYTES), sd.RUN).count()
+    _, first = moved(spark)
+    assert sd.repeats(texts, 400, sd.BYTES).count() == 0
+    assert runs > 2500 and moved(spark, first)[0] < 3 * runs
+
+
+@pytest.mark.parametrize("unit", [sd.BYTES, sd.WORDS])
+def test_halves_are_sent_without_their_anchor(spark, unit, monkeypatch, tmp_path):
+    rng = np.random.default_rng(14)
+    width = 400 if not unit.words else 51
+    body = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = []
+    for k in range(8):
+        mine = list(body)
+        for at in rng.integers(0, 400, 6):
+            mine[at] = f"edit{k}"
+        texts.append(" ".join(mine))
+    real = sd._spans
+
+    def noted(batches, *rest):
+        import uuid
+
+        for batch in real(batches, *rest):
+            if "bytes" in batch.schema.names:
+                for x, y, low in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    (tmp_path / uuid.uuid4().hex).write_text(f"{len(x) + len(y or b'')} {y is not None}")
+            yield batch
+
+    monkeypatch.setattr(sd, "_spans", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = sd.remove_repeats(df, width=width, unit=unit)
+    got = {r.doc_id: bytes(r.kept).decode() for r in df.select("doc_id", *sd.keys_of(sd.text_of("text"))).join(found, ["k1", "k2"]).collect()}
+    want = plain_words(texts, width) if unit.words else [p[2].decode() for p in plain([t.encode() for t in texts], width)]
+    assert got == dict(enumerate(want))
+    sent = [p.read_text().split() for p in tmp_path.iterdir()]
+    assert sent and all(halved == "True" for _, halved in sent)
+    if not unit.words:  # a string's bytes but for the anchor's 216, and the starts
+        assert np.median([int(n) for n, _ in sent]) < 400
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.remove_repeats(df).count() == 0
